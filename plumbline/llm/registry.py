@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from plumbline.llm.media import op8_avi_mjpeg
+from plumbline.llm.packing import op7_pack_sum_of_squares
+from plumbline.llm.rank_bpe import op4_rank_bpe
 from plumbline.llm.shards import op1_minimax_shards
+from plumbline.llm.token_orc import op3_token_orc
 
-QUERIES = {f.__name__: f for f in (op1_minimax_shards,)}
+QUERIES = {f.__name__: f for f in (op1_minimax_shards, op3_token_orc, op4_rank_bpe, op7_pack_sum_of_squares, op8_avi_mjpeg)}
 ORACLES: dict[str, str] = {}
