@@ -37,57 +37,66 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^a-z0-9\n]+", " ")
 
 
-def _bigrams(words: Column) -> Column:
-    """The distinct pairs of neighbouring words; `words` is bound, so it is computed once."""
-    pairs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    return F.array_distinct(F.get(F.transform(F.array(words), pairs), F.lit(0)))
+def _pairs(words: Column) -> Column:
+    """Each word with its follower (null for the last), to be exploded."""
+    return F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b"))
+
+
+def _word_count(text: Column) -> Column:
+    """Words of a trimmed text with single spaces."""
+    return F.length(text) - F.length(F.translate(text, " ", "")) + F.lit(1)
+
+
+def _template_bigrams(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    """template, license, n_template, h, in_template: how often a template has a bigram's hash."""
+    given = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, body string")
+    words = given.select("template", "license", F.split(F.trim(F.translate(_normal(F.col("body")), "\n", " ")), " +").alias("words"))
+    words = words.withColumn("n_template", F.size("words") - 1).where("n_template > 0")
+    grams = words.select("template", "license", "n_template", F.explode(_pairs(F.col("words"))).alias("p")).where("p.b is not null")
+    return grams.groupBy("template", "license", "n_template", F.xxhash64("p.a", "p.b").alias("h")).agg(F.count("*").alias("in_template"))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Passages of the documents that state a licence.
 
     doc_id, unit ('line', or 'block': lines up to a blank one, if several), unit_no (from 0),
-    license, template (its place in the list), n_bigrams, overlap, dice. A passage is told by its
-    template of largest Dice coefficient 2 * overlap / (bigrams of both), if that reaches the
-    threshold; ties: the first template.
+    license, template (its place in the list), n_bigrams, overlap, dice. Bigrams count as often as
+    they occur (and are compared by 64-bit hashes). A passage is told by its template of largest
+    Dice coefficient 2 * overlap / (bigrams of both), if that reaches the threshold; ties: the first
+    template.
 
     Dice at the threshold bounds the sizes' ratio by (2 - t) / t, so a passage out of all
-    templates' bounds is dropped before its bigrams are made, and each pair out of bounds before
-    they are counted. The templates' bigrams (a list of the caller, not of the input's size) are
-    broadcast. Null and empty texts, and passages under two words, give no rows; rows repeated with
-    the same doc_id and passage give one; ids may be null; an empty table gives no rows.
+    templates' bounds is dropped by its number of words, before any bigram is made, and each pair
+    out of bounds before it is counted. The templates' bigrams (a list of the caller, not of the
+    input's size) are broadcast, and only bigrams that some template has are shuffled. Null and
+    empty texts, and passages under two words, give no rows; rows repeated with the same doc_id and
+    passage give one; ids may be null; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    given = [(k, *t) for k, t in enumerate(default_templates() if templates is None else templates)]
-    own = spark.createDataFrame(given, "template int, license string, body string")
-    own = own.withColumn("words", F.split(F.trim(F.translate(_normal(F.col("body")), "\n", " ")), " +")).where(F.size("words") >= 2)
-    own = own.withColumn("bigrams", _bigrams(F.col("words"))).withColumn("n_template", F.size("bigrams"))
+    grams = _template_bigrams(docs.sparkSession, default_templates() if templates is None else templates)
     ratio = (2 - threshold) / threshold
-    sizes = [r[0] for r in own.select("n_template").distinct().collect()]
-    low = lambda n: -(-n * threshold // (2 - threshold))
+    sizes = [r[0] for r in grams.select("n_template").distinct().collect()]
     fits = F.lit(False)
-    for a, b in _merged([(int(low(n)), int(n * ratio)) for n in sizes]):
+    for a, b in _merged([(int(-(-n // ratio)), int(n * ratio)) for n in sizes]):
         fits = fits | F.col("n_bigrams").between(a, b)
-    most = max([0, *(int(n * ratio) for n in sizes)])
-
-    text = _normal(F.col("text"))
-    lines = docs.select("doc_id", F.lit("line").alias("unit"), F.posexplode(F.split(text, " ?\n ?")).alias("unit_no", "passage"))
-    blocks = docs.select("doc_id", F.lit("block").alias("unit"), F.posexplode(F.split(text, " ?\n[ \n]*\n ?")).alias("unit_no", "passage"))
-    blocks = blocks.where(F.contains("passage", F.lit("\n"))).withColumn("passage", F.translate("passage", "\n", " "))
-    units = lines.unionByName(blocks).withColumn("passage", F.trim("passage")).where(F.length("passage") >= 3)
-    units = units.withColumn("words", F.split("passage", " +")).where((F.size("words") >= 2) & (F.size("words") <= F.lit(4 * most + 8)))
-    units = units.select("doc_id", "unit", "unit_no", F.xxhash64("passage").alias("same"), _bigrams(F.col("words")).alias("bigrams"))
-    units = units.withColumn("n_bigrams", F.size("bigrams")).where(fits)
-    found = units.select("doc_id", "unit", "unit_no", "same", "n_bigrams", F.explode("bigrams").alias("bigram"))
-    grams = F.broadcast(own.select("template", "license", "n_template", F.explode("bigrams").alias("bigram")))
+
+    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _normal(F.col("text")).alias("norm")).where("norm is not null")
+    blank = F.contains("norm", F.lit("\n\n")) | F.contains("norm", F.lit("\n \n"))
+    blocks = F.when(blank, F.split("norm", " ?\n[ \n]*\n ?")).otherwise(F.array("norm"))
+    unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), x.alias("passage"))
+    units = F.concat(F.transform(F.split("norm", "\n"), unit("line")), F.filter(F.transform(blocks, unit("block")), lambda x: F.contains(x["passage"], F.lit("\n"))))
+    units = text.select("doc_id", "row", F.explode(units).alias("u"))
+    passage = F.trim(F.when(F.col("u.unit") == "block", F.regexp_replace(F.col("u.passage"), "[ \n]+", " ")).otherwise(F.col("u.passage")))
+    units = units.select("doc_id", "row", "u.unit", "u.unit_no", passage.alias("passage")).withColumn("n_bigrams", _word_count(F.col("passage")) - 1).where(fits)
+    keys = ["doc_id", "row", "unit", "unit_no", "n_bigrams"]
+    found = units.select(*keys, F.explode(_pairs(F.split("passage", " "))).alias("p")).where("p.b is not null").select(*keys, F.xxhash64("p.a", "p.b").alias("h"))
     near = (F.col("n_bigrams") * F.lit(ratio) >= F.col("n_template")) & (F.col("n_template") * F.lit(ratio) >= F.col("n_bigrams"))
-    found = found.join(grams, "bigram").where(near)
-    keys = ["doc_id", "unit", "unit_no", "same", "n_bigrams", "template", "license", "n_template"]
-    found = found.groupBy(*keys).agg(F.count_distinct("bigram").alias("overlap"))
+    found = found.join(F.broadcast(grams), "h").where(near)
+    keys += ["template", "license", "n_template"]
+    found = found.groupBy(*keys, "h", "in_template").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum(F.least("n", "in_template")).alias("overlap"))
     found = found.withColumn("dice", F.lit(2.0) * F.col("overlap") / (F.col("n_bigrams") + F.col("n_template"))).where(F.col("dice") >= F.lit(threshold))
     best = F.max(F.struct("dice", (-F.col("template")).alias("order"), "license", "overlap")).alias("best")
-    found = found.groupBy("doc_id", "unit", "unit_no", "same", "n_bigrams").agg(best)
-    return found.select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), (-F.col("best.order")).alias("template"), "n_bigrams", F.col("best.overlap").alias("overlap"), F.col("best.dice").alias("dice"))
+    found = found.groupBy(*keys[:5]).agg(best)
+    return found.select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), (-F.col("best.order")).alias("template"), "n_bigrams", F.col("best.overlap").alias("overlap"), F.col("best.dice").alias("dice")).distinct()
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
