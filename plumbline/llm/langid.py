@@ -136,8 +136,10 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteConvNet:
     text and lang, with SAMPLE_WINDOWS windows spread evenly over each text. With no such document
     the only label is `und`.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(sample_docs).collect()
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
+    # ids first, so that tasks don't each send as many texts
+    picks = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    rows = sorted(rows.join(F.broadcast(picks), "doc_id").collect(), key=lambda r: (r.doc_id, r.text, r.lang))
     if not rows:
         return ByteConvNet([UNKNOWN], [np.zeros((w, 256, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros((FILTERS * len(WIDTHS), 1), np.float32), np.zeros(1, np.float32))
     labels = sorted({r.lang for r in rows})
