@@ -55,11 +55,19 @@ def exposure(rsa: Column) -> Column:
     return F.when(rsa.isNull(), None).when(rsa >= 0.5, "exposed").when(rsa <= 0.2, "buried").otherwise("partial")
 
 
-def zscore(x: Column, *by: str) -> Column:
-    """Standard score in the group by the population deviation; 0 where that is 0."""
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(x).over(w)
-    return F.when(x.isNull(), None).when(sd > 0, (x - F.avg(x).over(w)) / sd).otherwise(F.lit(0.0))
+def zscore(x: Column, mean: Column, sd: Column) -> Column:
+    """Standard score by a group's mean and population deviation; 0 where that is 0."""
+    return F.when(x.isNull(), None).when(sd > 0, (x - mean) / sd).otherwise(F.lit(0.0))
+
+
+def with_zscore(df: DataFrame, value: str, by: str, out: str) -> DataFrame:
+    """df with the standard score of `value` in its group.
+
+    The groups' moments are aggregated before they are shuffled and joined back, so a group with a
+    third of all rows is no task's burden (a window would gather it in one).
+    """
+    stats = df.groupBy(by).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    return df.join(stats, by, "left").withColumn(out, zscore(F.col(value), F.col("__mean"), F.col("__sd"))).drop("__mean", "__sd")
 
 
 def _lookup(values: dict) -> Column:

@@ -1,25 +1,68 @@
-"""Token ids of whole texts by the tokenizers library, with each distinct pre-token encoded once.
+"""Token ids of whole texts by the tokenizers library, with each distinct unit encoded once.
 
-Byte-level BPE works within pre-tokens, so a text's ids are those of its pre-tokens in order. Equal
-pre-tokens are common even where equal texts are not: the library encodes the distinct ones, in
-batches, and a bounded cache joins the ids. Texts with characters on whose class two Unicode
-versions could differ, or with the text of a special token, go to the library whole.
+Byte-level BPE works within pre-tokens, and a pre-token never goes on over a white-space character
+that stands alone: a single space begins a pre-token, a single line feed is one. So a text is cut
+into units there, and its ids are those of its units in order. The library encodes each new unit,
+and a bounded cache keeps its ids. Texts with other white space, with two white-space characters in
+a row, or with the start of a special token go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
-import numpy as np
-import regex
-
-#: Pre-tokens whose ids a Python worker keeps; beyond, it starts anew.
-CACHE = 400_000
-_PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_UNUSUAL = regex.compile(r"[^\t\n\r\x20-\x7e¡-ɏ‐-‧‰-⁞€]|<\|")
+#: Units whose ids a Python worker keeps; beyond, it starts anew.
+CACHE = 700_000
+#: Words whose bytes as UTF-8 stand for printable characters of the byte alphabet.
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 _encoders: dict[str, ByteBpe] = {}
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return _PACK[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Units(dict):
+    """Ids by unit; a key lacks the space that its unit begins with, but has its line feed.
+
+    None stands for a unit that isn't plain.
+    """
+
+    def __init__(self, library, tokenize, feed: bytes):
+        super().__init__()
+        self.library, self.tokenize, self.feed = library, tokenize, feed
+
+    def __missing__(self, key: str) -> bytes | None:
+        if len(self) > CACHE:
+            self.clear()
+        body = key[1:] if key[:1] == "\n" else key
+        run = _LATIN.match(body)
+        if run is None or len(body) > run.end() and body[run.end()].isalpha():
+            plain = "<|" not in body and body.split() == [body]
+            ids = self.library([body if body is not key else f" {body}"])[0] if plain else None
+        elif run.end() < len(body):
+            # a letter and another character never share a pre-token: the leading word stands alone
+            tail = body[run.end() :]
+            if "<|" in tail or tail.split() != [tail]:
+                ids = None
+            else:
+                ids = self[run[0]] if body is key else self["\n" + run[0]][4:]
+                ids += self["\n" + tail][4:]
+        else:
+            chars = body if body.isascii() else body.encode().decode("latin-1").translate(_BYTE_CHARS)
+            ids = pack_ids([t.id for t in self.tokenize(chars if body is not key else "Ġ" + chars)])
+        if body is not key and ids is not None:
+            ids = self.feed + ids
+        self[key] = ids
+        return ids
+
+
 class ByteBpe:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -28,27 +71,30 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
+        feed = self._library(["\n"])[0]
+        self.units = _Units(self._library, self.tokenizer.model.tokenize, feed)
+        self.splits = len(feed) == 4 and self._library([" a\n b\nc"])[0] == feed.join(self._library([" a", " b", "c"]))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [pack_ids(e.ids) for e in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        plain = [i for i, t in enumerate(texts) if not _UNUSUAL.search(t)]
-        words = [_PRETOKEN.findall(texts[i]) for i in plain]
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        new = list(set().union(*words).difference(self.cache))
-        self.cache.update(zip(new, self._library(new), strict=True))
-        get, out = self.cache.__getitem__, [b""] * len(texts)
-        for i, w in zip(plain, words, strict=True):
-            out[i] = b"".join(map(get, w))
-        if len(plain) < len(texts):
-            rest = sorted(set(range(len(texts))) - set(plain))
-            for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
-                out[i] = ids
+        out, rest, get = [b""] * len(texts), [], self.units.__getitem__
+        for i, t in enumerate(texts):
+            if t:
+                try:
+                    # the first unit has no space before it: it is taken as a line's first one
+                    units = t.replace("\n", " \n").split(" ")
+                    units[0] = "\n" + units[0]
+                    out[i] = b"".join(map(get, units))[4:] if self.splits else None
+                except TypeError:  # a unit that isn't plain
+                    out[i] = None
+                if out[i] is None:
+                    rest.append(i)
+        for i, ids in zip(rest, self._library([texts[i] for i in rest]), strict=True):
+            out[i] = ids
         return out
 
 

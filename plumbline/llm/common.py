@@ -8,8 +8,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch: texts may be long, so batches are kept small.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch: texts may be long, so batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Characters that a Python step works on at a time.
 SLICE_CHARS = 2_000_000
 
@@ -17,6 +17,7 @@ SLICE_CHARS = 2_000_000
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of the folder `sf_dir`."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -50,13 +51,14 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(texts: list[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` of about `chars` characters each, and of one text at least."""
     first = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > chars:
+        n = len(text or "")
+        if size and size + n > chars:
             yield first, i
             first, size = i, 0
-        size += len(text)
+        size += n
     if texts:
         yield first, len(texts)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices, stored, table
@@ -15,7 +15,7 @@ from plumbline.llm.ngram_hash import mix, ngram_sets
 
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
 #: Characters hashed at a time, and n-grams among which a task looks for common ones.
-CHARS, BLOCK = 400_000, 6_000_000
+CHARS, BLOCK = 300_000, 3_000_000
 #: Documents of a block from which an n-gram counts as common, and common n-grams that are ordered
 #: last (a choice of order only: any order gives the same links).
 COMMON, COMMON_MOST = 3, 1 << 17
@@ -56,11 +56,8 @@ def _common_step(words: int):
 
 
 def _prefix_step(words: int, num: int, den: int, common: np.ndarray, rank: np.ndarray):
-    """doc_id, n, two signatures, and the first n-grams of each set in the common order.
-
-    Of sets with n and m n-grams that link, the intersection has at least max(n, m) * num / den
-    n-grams. So if each keeps n - ceil(n * num / den) + k(n), the kept ones share min(k(n), k(m)).
-    """
+    """doc_id, n, two signatures, and the first n - ceil(n * num / den) + 1 n-grams of each set in
+    one order of all n-grams, the common ones last."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +66,7 @@ def _prefix_step(words: int, num: int, den: int, common: np.ndarray, rank: np.nd
                 for h in sets:
                     n.append(len(h))
                     sig.append((int(h.sum(dtype=np.uint64).view(np.int64)), int(mix(h).sum(dtype=np.uint64).view(np.int64))) if len(h) else (0, 0))
-                    keep = len(h) - -(-num * len(h) // den) + max(1, len(h) // 20)
+                    keep = len(h) - -(-num * len(h) // den) + 1
                     at = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
                     if len(common) and (is_common := common[at] == h).any():
                         h = h[np.lexsort((h, np.where(is_common, rank[at], 0)))]
@@ -100,23 +97,25 @@ def _product_step(num: int, den: int):
         for batch in batches:
             a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             is_pivot = batch.column("kind").to_numpy() == 0
-            rows = [np.frombuffer(r, np.uint64) for r in batch.column("row").to_pylist()]
+            row, offset = batch.column("row"), batch.column("row").offset
+            ends = np.frombuffer(row.buffers()[1], np.int32)[offset : offset + len(row) + 1] // 8
+            data = np.frombuffer(row.buffers()[2], np.uint64, int(ends[-1]))
             starts = np.flatnonzero(np.concatenate(([True], is_pivot[1:])))
             found_a, found_b = [], []
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=True):
                 if is_pivot[s]:
-                    pivot_id, pivot = a[s], rows[s]
+                    pivot_id, pivot = a[s], data[ends[s] : ends[s + 1]].copy()
                     s += 1
                 if s == e:
                     continue
                 if not (a[s:e] == pivot_id).all():
                     raise ValueError("rows without their pivot")
-                size = np.array([len(r) for r in rows[s:e]])
-                flat = np.concatenate(rows[s:e])
+                size = np.diff(ends[s : e + 1]).astype(np.int64)
+                flat = data[ends[s] : ends[e]]
                 at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-                overlap = np.add.reduceat((pivot[at] == flat).astype(np.int64), np.cumsum(size) - size)
+                overlap = np.add.reduceat((pivot[at] == flat).astype(np.int32), ends[s:e] - ends[s])
                 # intersection * den >= union * num
-                linked = overlap * (den + num) >= num * (size + len(pivot))
+                linked = overlap.astype(np.int64) * (den + num) >= num * (size + len(pivot))
                 found_a += [pivot_id] * int(linked.sum())
                 found_b += b[s:e][linked].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
@@ -124,7 +123,7 @@ def _product_step(num: int, den: int):
     return step
 
 
-def _of(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def of_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows whose key is among the ids (distinct, stored): broadcast if they are few."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
@@ -135,7 +134,7 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, num: int, den: int
     A pivot a is sent once for each PIVOT_BLOCK n-grams of its partners, sorted before them.
     """
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    rows = stored(_of(texts, ids).mapInArrow(_rows_step(words), "doc_id long, n long, row binary"))
+    rows = stored(of_ids(texts, ids).mapInArrow(_rows_step(words), "doc_id long, n long, row binary"))
     weight = pairs.groupBy("a").agg(F.sum("n_b").alias("w")).select("a", F.ceil(F.col("w") / F.lit(PIVOT_BLOCK)).cast("int").alias("parts"))
     pairs = pairs.join(weight, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     pivots = weight.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -145,22 +144,40 @@ def _verified(texts: DataFrame, pairs: DataFrame, words: int, num: int, den: int
     return stream.select("a", "kind", "b", "row").mapInArrow(_product_step(num, den), "a long, b long")
 
 
+def _promising(heads: DataFrame, pairs: DataFrame, least: Column, num: int, den: int) -> DataFrame:
+    """Those of the stored pairs (a, n_a, b, n_b) whose kept n-grams share enough for a link.
+
+    All other common n-grams lie behind the head of a or of b, so they can't be more than the
+    longer rest.
+    """
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    heads = stored(of_ids(heads, ids))
+    pairs = pairs.join(heads.select(F.col("doc_id").alias("a"), F.col("prefix").alias("p_a")), "a").join(heads.select(F.col("doc_id").alias("b"), F.col("prefix").alias("p_b")), "b")
+    rest = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    return pairs.where(F.size(F.array_intersect("p_a", "p_b")) >= least - rest).select("a", "n_a", "b", "n_b").distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """doc_id, n_shingles, component_id: components under Jaccard >= num / den of word n-gram sets.
 
     A set holds the distinct n-grams of a whole text (A-Z as a-z; fewer words: the whole sequence
     as one). Texts without words, null texts and rows of null doc_id link with nothing, and are
-    their own component (null for null). Rows of equal doc_id count as one document that has all
-    their links. Repeated rows stay; an empty table gives no rows.
+    their own component (null for null). doc_id tells documents apart: repeated rows stay, and link
+    to each other; of differing texts under one id, any may make the id's links. An empty table
+    gives no rows.
 
     1. Equal sets become classes, by two 64-bit sums over the set and its size.
-    2. Each class keeps its rarest n-grams, so many that sets that link share several (blocks of
-       the incidence matrix: a column with its documents).
-    3. In each block, all are compared with the smallest document, if they share enough kept
-       n-grams and their sizes allow a link. The components so far make most blocks, of near copies
-       too, one component, so no group's pairs are all made.
-    4. Of what remains, every pair across components that shares enough kept n-grams is compared.
-       So no link between components is lost.
+    2. Sets of n and m n-grams link if they share l = ceil((n + m) * num / (num + den)) or more. In
+       one order of all n-grams, rare ones first, the first n - l + 1 and m - l + 1 then have one in
+       common. So each class keeps its first n-grams (a block of the incidence matrix is an n-gram
+       with its documents), and a pair counts only where both places lie so far in front.
+    3. In each block, all are compared with the document in which the n-gram stands foremost. These
+       links make most blocks, those of large groups of near copies too, one component.
+    4. Of what remains, every pair across components is compared. So no link between components is
+       lost, no group's pairs are all made, and unlinked near copies, whose own n-grams stand in
+       front, hardly meet.
+
+    Pairs first have their kept n-grams counted, then the whole rows multiplied.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     common = texts.select("text").mapInArrow(_common_step(words), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -170,28 +187,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR
     facts = stored(texts.mapInArrow(_prefix_step(words, num, den, common_h, rank), "doc_id long, n long, sig_a long, sig_b long, prefix array<long>"))
     same = ["n", "sig_a", "sig_b"]
     classes = stored(facts.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc_id")))
-    size_ok = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    least = F.least(F.greatest(F.lit(1), F.floor(F.col("n_a") / 20)), F.greatest(F.lit(1), F.floor(F.col("n_b") / 20)))
-
-    kept = facts.join(classes, [*same, "doc_id"], "left_semi").select("doc_id", "n", F.explode("prefix").alias("h")).distinct()
-    blocks = kept.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "n")).alias("first")).where("c > 1")
-    blocks = stored(kept.join(blocks, "h").select("h", "doc_id", "n", F.col("first.doc_id").alias("a"), F.col("first.n").alias("n_a")))
-    pairs = blocks.where("a <> doc_id").select("a", "n_a", F.col("doc_id").alias("b"), F.col("n").alias("n_b")).where(size_ok)
-    pairs = stored(pairs.groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("votes")).where(F.col("votes") >= least))
-    links = stored(_verified(texts, pairs, words, num, den).distinct())
+    least = F.expr(f"((n_a + n_b) * {num} + {num + den - 1}) div {num + den}")
+    in_front = (F.col("at_a") <= F.col("n_a") - least) & (F.col("at_b") <= F.col("n_b") - least)
+
+    heads = facts.join(classes, [*same, "doc_id"], "left_semi").select("doc_id", "n", "prefix")
+    kept = heads.select("doc_id", "n", F.posexplode("prefix").alias("at", "h"))
+    blocks = kept.groupBy("h").agg(F.count("*").alias("c"), F.min_by("doc_id", "at").alias("a"), F.min_by("n", "at").alias("n_a"), F.min("at").alias("at_a")).where("c > 1").drop("c")
+    blocks = stored(kept.join(blocks, "h"))
+    pairs = blocks.select("a", "n_a", "at_a", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")).where((F.col("a") != F.col("b")) & in_front)
+    pairs = stored(pairs.select("a", "n_a", "b", "n_b").distinct())
+    checked = stored(_promising(heads, pairs, least, num, den))
+    links = stored(_verified(texts, checked, words, num, den).distinct())
     parts = stored(connected_components(links))
 
     of = parts.select(F.col("node").alias("doc_id"), "component")
-    member = blocks.select("h", "doc_id", "n").join(of, "doc_id", "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    member = blocks.select("h", "doc_id", "n", "at").join(of, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
     mixed = member.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("h")
-    member = stored(member.join(mixed, "h", "left_semi"))
-    left = member.select("h", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = member.select("h", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    rest = left.join(right, (left.h == right.h) & (left.a < right.b) & (left.c_a != right.c_b) & size_ok).select("a", "n_a", "b", "n_b")
-    rest = rest.groupBy("a", "n_a", "b", "n_b").agg(F.count("*").alias("votes")).where(F.col("votes") >= least)
-    rest = stored(rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
+    member = stored(member.join(mixed, "h", "left_semi").drop("component"))
+    side = lambda i: member.select("h", *(F.col(c).alias(d) for c, d in (("doc_id", i), ("n", f"n_{i}"), ("at", f"at_{i}"), ("c", f"c_{i}"))))
+    rest = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & in_front)
+    rest = rest.select("a", "n_a", "b", "n_b").distinct()
+    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stored(rest.join(done, ["a", "b"], "left_anti"))
     if rest.limit(1).count():
-        more = stored(_verified(texts, rest, words, num, den).distinct())
+        more = stored(_verified(texts, stored(_promising(heads, rest, least, num, den)), words, num, den).distinct())
         parts = stored(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
 
     component = classes.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")

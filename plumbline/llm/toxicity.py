@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ from plumbline.llm.common import slices, table
 #: Bound of the training sample: documents of each class of the last category.
 SAMPLE = 2000
 #: Features each category's model may use, and documents a feature must be in.
-FEATURES, LEAST_DOCS = 3000, 4
+FEATURES, LEAST_DOCS, SHARE = 150, 4, 40
 FOLDS, STEPS, RATE, DECAY = 5, 200, 0.08, 1e-4
 THRESHOLD = 0.5
 #: The chain's categories in order, each a condition on the label table.
@@ -35,36 +35,50 @@ def words(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+def features(own: set[str], of: Callable[[str], Iterable[str]] = word_features) -> dict[str, float]:
+    """The value of each feature of a text with the distinct words `own`.
+
+    A word counts 1. A beginning, which chance brings into long texts, counts by its share of the
+    words: 1 if one word in SHARE has it.
+    """
+    counts: dict[str, int] = {}
+    for w in own:
+        for f in of(w):
+            counts[f] = counts.get(f, 0) + 1
+    return {f: min(1.0, n * SHARE / len(own)) if f[-1] == "*" else 1.0 for f, n in counts.items()}
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 @dataclass
 class Linear:
-    """A logistic model on the share-weighted presence of features, and on earlier probabilities."""
+    """A logistic model on the features' values and on earlier probabilities."""
 
     weights: dict[str, float]
     chain: np.ndarray
     bias: float
 
-    def scores(self, rows: list[set[str]], earlier: np.ndarray) -> np.ndarray:
+    def scores(self, rows: list[dict[str, float]], earlier: np.ndarray) -> np.ndarray:
         get = self.weights.get
-        return _sigmoid(np.array([sum(get(f, 0.0) for f in r) for r in rows]) + earlier @ self.chain + self.bias)
+        return _sigmoid(np.array([sum(get(f, 0.0) * v for f, v in r.items()) for r in rows]) + earlier @ self.chain + self.bias)
 
 
 @dataclass
 class Incidence:
-    """Documents by features, as parallel arrays of the places that are set."""
+    """Documents by features, as parallel arrays of the places that are set and their values."""
 
     names: list[str]
     row: np.ndarray
     col: np.ndarray
+    value: np.ndarray
     rows: int
 
     def only(self, keep: np.ndarray) -> Incidence:
         """The documents `keep` (a mask), numbered anew."""
         at = keep[self.row]
-        return Incidence(self.names, (np.cumsum(keep) - 1)[self.row[at]], self.col[at], int(keep.sum()))
+        return Incidence(self.names, (np.cumsum(keep) - 1)[self.row[at]], self.col[at], self.value[at], int(keep.sum()))
 
 
 def incidence(texts: list[str]) -> Incidence:
@@ -76,36 +90,41 @@ def incidence(texts: list[str]) -> Incidence:
     names = sorted(f for f, n in counts.items() if n >= LEAST_DOCS)
     index = {f: i for i, f in enumerate(names)}
     del counts
-    own = [np.array(sorted({index[f] for w in words(t) for f in word_features(w) if f in index}), dtype=np.int64) for t in texts]
-    row = np.repeat(np.arange(len(texts)), [len(o) for o in own])
-    return Incidence(names, row, np.concatenate([np.zeros(0, np.int64), *own]), len(texts))
+    rows, cols, values = [], [], []
+    for i, t in enumerate(texts):
+        found = sorted((index[f], v) for f, v in features(words(t)).items() if f in index)
+        rows.append(np.full(len(found), i))
+        cols.append(np.array([c for c, _ in found], dtype=np.int64))
+        values.append(np.array([v for _, v in found], dtype=np.float32))
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return Incidence(names, join(rows, np.int64), join(cols, np.int64), join(values, np.float32), len(texts))
 
 
 def fit_linear(x: Incidence, earlier: np.ndarray, y: np.ndarray) -> tuple[Linear, np.ndarray]:
     """The model and its weight for each name of x.
 
-    Features are chosen by the z value of their rates in the two classes; classes weigh alike.
+    Features are chosen by the z value of their means in the two classes; classes weigh alike.
     """
     pos, neg = int(y.sum()), int((1 - y).sum())
     full = np.zeros(len(x.names))
     if not pos or not neg:
         return Linear({}, np.zeros(earlier.shape[1]), 30.0 if pos else -30.0), full
-    in_pos = np.bincount(x.col, y[x.row], len(full))
-    in_all = np.bincount(x.col, minlength=len(full))
-    rate = in_all / len(y)
-    z = np.abs(in_pos / pos - (in_all - in_pos) / neg) / np.sqrt(rate * (1 - rate) * (1 / pos + 1 / neg) + 1e-12)
+    in_pos = np.bincount(x.col, y[x.row] * x.value, len(full))
+    in_all = np.bincount(x.col, x.value, len(full))
+    variance = np.maximum(np.bincount(x.col, x.value.astype(float) ** 2, len(full)) / len(y) - (in_all / len(y)) ** 2, 0)
+    z = np.abs(in_pos / pos - (in_all - in_pos) / neg) / np.sqrt(variance * (1 / pos + 1 / neg) + 1e-12)
     keep = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
     place = np.full(len(full), -1)
     place[keep] = np.arange(len(keep))
     used = place[x.col] >= 0
-    row, col = x.row[used], place[x.col[used]]
+    row, col, value = x.row[used], place[x.col[used]], x.value[used]
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)
     w, chain, bias = np.zeros(len(keep)), np.zeros(earlier.shape[1]), 0.0
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, chain, np.zeros(1))]
     for step in range(1, STEPS + 1):
-        p = _sigmoid(np.bincount(row, w[col], len(y)) + earlier @ chain + bias)
+        p = _sigmoid(np.bincount(row, w[col] * value, len(y)) + earlier @ chain + bias)
         e = (p - y) * weight
-        grads = (np.bincount(col, e[row], len(w)) + DECAY * w / len(keep), earlier.T @ e, np.array([e.sum()]))
+        grads = (np.bincount(col, e[row] * value, len(w)) + DECAY * w / len(keep), earlier.T @ e, np.array([e.sum()]))
         moves = []
         for g, (m, v) in zip(grads, state, strict=True):
             m += 0.1 * (g - m)
@@ -121,7 +140,7 @@ class Chain:
     names: list[str]
     models: list[Linear]
 
-    def scores(self, rows: list[set[str]]) -> np.ndarray:
+    def scores(self, rows: list[dict[str, float]]) -> np.ndarray:
         """A column of probabilities for each category, each model seeing the earlier columns."""
         found = np.zeros((len(rows), 0))
         for m in self.models:
@@ -143,7 +162,7 @@ def fit_chain(texts: list[str], labels: np.ndarray, names: list[str]) -> Chain:
             for f in range(FOLDS):
                 own, rest = x.only(fold == f), fold != f
                 model, weights = fit_linear(x.only(rest), earlier[rest], y[rest])
-                p[fold == f] = _sigmoid(np.bincount(own.row, weights[own.col], own.rows) + earlier[fold == f] @ model.chain + model.bias)
+                p[fold == f] = _sigmoid(np.bincount(own.row, weights[own.col] * own.value, own.rows) + earlier[fold == f] @ model.chain + model.bias)
             earlier = np.concatenate((earlier, p[:, None]), axis=1)
     return Chain(names, models)
 
@@ -171,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 def _score_step(chain: Chain):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set().union(*(m.weights for m in chain.models))
-        cache: dict[str, frozenset[str]] = {}
+        cache: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for i, j in slices(texts, 500_000):
@@ -181,8 +200,8 @@ def _score_step(chain: Chain):
                 for t in texts[i:j]:
                     own = words(t or "")
                     for w in own.difference(cache):
-                        cache[w] = known.intersection(word_features(w)) or None
-                    rows.append(set().union(*filter(None, map(cache.__getitem__, own))))
+                        cache[w] = tuple(known.intersection(word_features(w)))
+                    rows.append(features(own, cache.__getitem__))
                 p = chain.scores(rows)
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*batch.schema.names[1:], *(f"p_{n}" for n in chain.names)])
 

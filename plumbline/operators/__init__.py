@@ -1 +1 @@
-
+"""Metrics, resampling, rank statistics and pair kernels."""

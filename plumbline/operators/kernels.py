@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Published definition of lDDT: inclusion radius and distance thresholds, in angstroms.
@@ -14,40 +14,40 @@ RADIUS, THRESHOLDS = 15.0, (0.5, 1.0, 2.0, 4.0)
 BLOCK = 256
 
 
-def _neff(seqs: list[str], seqid: float, max_seqs: int, seed: int) -> tuple[int, float, float, int, bool]:
-    length = len(seqs[0])
-    seqs = [s for s in seqs if len(s) == length]
-    total, estimated = len(seqs), len(seqs) > max_seqs
-    if estimated:
-        chosen = np.random.default_rng(seed).choice(total, max_seqs, replace=False)
-        seqs = [seqs[i] for i in chosen]
+def _weight(seqs: list[str], length: int, seqid: float) -> float:
+    """The sum over the sequences of 1 / (sequences with enough equal columns), block by block."""
     x = np.array([np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in seqs]).reshape(len(seqs), length)
-    need = seqid * length
-    weight = 0.0
+    need, weight = seqid * length, 0.0
     for a in range(0, len(x), BLOCK):
         near = np.zeros(len(x[a : a + BLOCK]), np.int64)
         for b in range(0, len(x), BLOCK):
             near += ((x[a : a + BLOCK, None, :] == x[None, b : b + BLOCK, :]).sum(axis=2) >= need).sum(axis=1)
         weight += (1.0 / near).sum()
-    weight *= total / len(x)
-    return total, round(weight, 3), round(weight / length, 4) if length else 0.0, length, estimated
+    return weight
 
 
 def neff(msa: DataFrame, seqid: float = 0.62, max_seqs: int = 5000, seed: int = 0) -> DataFrame:
     """MSA depth by candidate from aligned sequences (columns candidate, row, sequence).
 
     A sequence weighs 1 / (sequences with at least seqid of its columns equal, itself among them).
-    Rows of another length than the candidate's first don't count; empty ones are dropped. Over
-    max_seqs sequences, a seeded sample is scaled up, as the definition has it.
+    Rows of another length than the candidate's first don't count; empty ones are dropped. Of more
+    than max_seqs sequences, those of smallest seeded digest are compared and the sum scaled up, as
+    the definition has it; that limit is taken before the shuffle, so a task never holds more.
     """
-    rows = msa.where(F.col("sequence") != "").select("candidate", "row", "sequence")
+    rows = msa.where("sequence <> ''").select("candidate", "row", "sequence")
+    first = rows.groupBy("candidate").agg(F.min_by(F.length("sequence"), "row").alias("length"))
+    rows = rows.join(first, "candidate").where(F.length("sequence") == F.col("length"))
+    sizes = rows.groupBy("candidate").agg(F.count("*").alias("total"))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("row").cast("string")).cast("binary"))
+    place = F.row_number().over(Window.partitionBy("candidate").orderBy(digest, "row"))
+    kept = rows.withColumn("place", place).where(F.col("place") <= max_seqs).drop("place").join(sizes, "candidate")
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        n, total, per, length, estimated = _neff(pdf.sequence.tolist(), seqid, max_seqs, seed)
-        return pd.DataFrame([(pdf.candidate.iloc[0], n, total, per, length, estimated)], columns=["candidate", "n_sequences", "neff", "neff_per_col", "length", "neff_estimated"])
+        total, length = int(pdf.total.iloc[0]), int(pdf.length.iloc[0])
+        value = _weight(pdf.sequence.tolist(), length, seqid) * total / len(pdf)
+        return pd.DataFrame([(pdf.candidate.iloc[0], total, round(value, 3), round(value / length, 4), length, total > len(pdf))], columns=["candidate", "n_sequences", "neff", "neff_per_col", "length", "neff_estimated"])
 
-    return rows.groupBy("candidate").applyInPandas(step, "candidate string, n_sequences int, neff double, neff_per_col double, length int, neff_estimated boolean")
+    return kept.groupBy("candidate").applyInPandas(step, "candidate string, n_sequences int, neff double, neff_per_col double, length int, neff_estimated boolean")
 
 
 def lddt(reference: DataFrame, subject: DataFrame, radius: float = RADIUS, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:

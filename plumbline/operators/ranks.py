@@ -6,24 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
-    """df with the average rank of a non-null value among all rows, and `<out>_n`, their number.
+def cumulative(df: DataFrame, value: Column) -> DataFrame:
+    """v, c, before, n: each distinct non-null value, its count, the count of smaller rows, of all.
 
     Rows are first counted by value, so the running sum sees distinct values, not rows; it is
-    split by ranges of 256 quantiles, so it isn't one task's work either.
+    split by ranges of 256 approximate quantiles, so it isn't one task's work either.
     """
-    v = F.col(value)
-    counts = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("__c"))
-    cuts = df.where(v.isNotNull()).agg(F.array_distinct(F.percentile_approx(v, [i / 256 for i in range(1, 256)], 2000)).alias("__q"))
-    counts = counts.join(F.broadcast(cuts))  # one row
-    counts = counts.withColumn("__part", F.size(F.filter("__q", lambda q: q < F.col("__v")))).drop("__q")
-    parts = counts.groupBy("__part").agg(F.sum("__c").alias("__s"))  # 256 rows at most
-    before = F.sum("__s").over(Window.orderBy("__part")) - F.col("__s")
-    total = F.sum("__s").over(Window.partitionBy())
-    parts = F.broadcast(parts.select("__part", before.alias("__b"), total.alias(f"{out}_n")))
-    upto = F.sum("__c").over(Window.partitionBy("__part").orderBy("__v"))
-    ranked = counts.join(parts, "__part").select("__v", (F.col("__b") + upto - (F.col("__c") - 1) / 2.0).alias(out), f"{out}_n")
-    return df.join(ranked, v == F.col("__v"), "left").drop("__v")
+    rows = df.where(value.isNotNull()).select(value.alias("v"))
+    cuts = rows.agg(F.array_distinct(F.percentile_approx("v", [i / 256 for i in range(1, 256)], 2000)).alias("q"))
+    counts = rows.groupBy("v").agg(F.count("*").alias("c")).join(F.broadcast(cuts))  # one row
+    counts = counts.select("v", "c", F.size(F.filter("q", lambda q: q < F.col("v"))).alias("part"))
+    parts = counts.groupBy("part").agg(F.sum("c").alias("s"))  # 256 rows at most
+    start = F.sum("s").over(Window.orderBy("part")) - F.col("s")
+    parts = F.broadcast(parts.select("part", start.alias("start"), F.sum("s").over(Window.partitionBy()).alias("n")))
+    within = F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c")
+    return counts.join(parts, "part").select("v", "c", (F.col("start") + within).alias("before"), "n")
+
+
+def average_ranks(df: DataFrame, value: str, out: str) -> DataFrame:
+    """df with the average rank of a non-null value among all rows, and `<out>_n`, their number."""
+    ranked = cumulative(df, F.col(value)).select(F.col("v").alias("__v"), (F.col("before") + (F.col("c") + 1) / 2.0).alias(out), F.col("n").alias(f"{out}_n"))
+    return df.join(ranked, F.col(value) == F.col("__v"), "left").drop("__v")
+
+
+def exact_quantile(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
+    """One row: the quantile by linear interpolation, from the running counts of distinct values."""
+    place = F.lit(q) * (F.col("n") - 1)
+    at = lambda x: F.max(F.when((F.col("before") <= x) & (x < F.col("before") + F.col("c")), F.col("v")))
+    found = cumulative(df, F.col(value)).agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.max(place - F.floor(place)).alias("f"))
+    return found.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias(out))
 
 
 def window_average_rank(value: Column, order: Column) -> Column:
@@ -59,7 +70,7 @@ def percent_rank(df: DataFrame, value: str, out: str) -> DataFrame:
 
 def worst_quantile(df: DataFrame, value: str, q: float, out: str) -> DataFrame:
     """df with a flag of values up to the exact quantile."""
-    cut = df.agg(F.percentile(value, F.lit(q)).alias("__cut"))
+    cut = exact_quantile(df, value, q, "__cut")
     return df.join(F.broadcast(cut)).withColumn(out, F.col(value) <= F.col("__cut")).drop("__cut")  # one row
 
 

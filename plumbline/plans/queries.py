@@ -491,9 +491,8 @@ def sparkline(spark, sf_dir):
 
 @query("SELECT candidate, count(*) FILTER (b > m + s) AS n_flexible, count(*) AS n FROM (SELECT CAST(l_suppkey AS VARCHAR) AS candidate, l_extendedprice AS b, avg(l_extendedprice) OVER w AS m, stddev_pop(l_extendedprice) OVER w AS s FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)) GROUP BY 1")
 def flexible_count(spark, sf_dir):
-    w = Window.partitionBy("candidate")
-    rows = residues(spark, sf_dir).withColumn("f", F.col("ref_bfactor") > F.avg("ref_bfactor").over(w) + F.stddev_pop("ref_bfactor").over(w))
-    return rows.groupBy("candidate").agg(F.count_if("f").alias("n_flexible"), F.count("*").alias("n"))
+    rows = derive.with_zscore(residues(spark, sf_dir), "ref_bfactor", "candidate", "z")
+    return rows.groupBy("candidate").agg(F.count_if(F.col("z") > 1).alias("n_flexible"), F.count("*").alias("n"))
 
 
 __all__ = ["ORACLES", "QUERIES", "build_dataset"]

@@ -40,9 +40,10 @@ def dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_dataset(scores: DataFrame, covariates: DataFrame, min_coverage: float = 0.8) -> DataFrame:
     """Scores with covariates and the derived strata; columns are derived where their source exists.
 
-    Targets of low coverage go first, before any join. The covariates (a row for each target; of
-    repeated ones the least is kept, so no residue fans out) join on the target; AQE broadcasts
-    them while they are small. Tertiles are taken over targets, not residues.
+    Targets of low coverage go first, before any join. All that a target contributes (its size, its
+    B-factor moments, its covariates and tertiles) is one row of one table, which joins the residues
+    once; AQE broadcasts it while it is small and splits a hot target's rows beyond. Covariates of
+    repeated targets: the least row is kept, so no residue fans out.
     """
     from plumbline.operators.calibration import low_coverage
 
@@ -51,17 +52,20 @@ def build_dataset(scores: DataFrame, covariates: DataFrame, min_coverage: float
         scores = scores.join(low_coverage(scores, min_coverage), "candidate", "left_anti")
     rest = [c for c in covariates.columns if c != "candidate"]
     covariates = covariates.groupBy("candidate").agg(F.min(F.struct(*rest)).alias("x")).select("candidate", "x.*")
-    sizes = scores.groupBy("candidate").agg(F.count("*").alias("neff")) if "neff" not in rest else None
-    targets = covariates if sizes is None else sizes.join(covariates, "candidate", "left")
-    if "max_identity" in targets.columns:
-        targets = targets.withColumn("novelty_bin", derive.tertile("max_identity", "candidate"))
-    if "neff" in targets.columns:
-        targets = targets.withColumn("msa_depth_bin", derive.tertile("neff", "candidate"))
+    has_b = "ref_bfactor" in scores.columns
+    own = [F.count("*").alias("neff")] if "neff" not in rest else []
+    if has_b:
+        own += [F.avg("ref_bfactor").alias("__mean"), F.stddev_pop("ref_bfactor").alias("__sd")]
+    targets = scores.groupBy("candidate").agg(*(own or [F.count("*").alias("__n")])).join(covariates, "candidate", "left")
+    for value, name in (("max_identity", "novelty_bin"), ("neff", "msa_depth_bin")):
+        if value in targets.columns:
+            targets = targets.withColumn(name, derive.tertile(value, "candidate"))
     df = scores.join(targets, "candidate", "left")
     if "nonpolymer_entity_count" in df.columns:
         df = df.withColumn("ligand_state", derive.ligand_state(F.col("nonpolymer_entity_count")))
-    if "ref_bfactor" in df.columns:
-        df = df.withColumn("ref_bfactor_z", derive.zscore(F.col("ref_bfactor"), "candidate")).withColumn("flexibility", derive.flexibility(F.col("ref_bfactor_z")))
+    if has_b:
+        df = df.withColumn("ref_bfactor_z", derive.zscore(F.col("ref_bfactor"), F.col("__mean"), F.col("__sd"))).withColumn("flexibility", derive.flexibility(F.col("ref_bfactor_z")))
+    df = df.drop("__mean", "__sd", "__n")
     if "sse" in df.columns:
         df = df.withColumn("structured", derive.structured(F.col("sse")))
     if "rsa" in df.columns:

@@ -1 +1 @@
-
+"""No streams: every operator is a batch one, and its additive statistics merge across batches."""
