@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import stored, table
 
 THRESHOLD = 0.8
+#: Words that most English texts have.
+COMMON = {"a", "an", "and", "as", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"}
 #: Licence names and the ways in which a text states them.
 NAMES = {
     "MIT": ("MIT License",), "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0"), "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "ISC": ("ISC License",),
@@ -48,12 +53,55 @@ def _word_count(text: Column) -> Column:
 
 
 def _template_bigrams(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """template, license, n_template, h, in_template: how often a template has a bigram's hash."""
+    """template, license, n_template, a, b, h, in_template: how often a template has a bigram's hash."""
     given = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, body string")
     words = given.select("template", "license", F.split(F.trim(F.translate(_normal(F.col("body")), "\n", " ")), " +").alias("words"))
     words = words.withColumn("n_template", F.size("words") - 1).where("n_template > 0")
     grams = words.select("template", "license", "n_template", F.explode(_pairs(F.col("words"))).alias("p")).where("p.b is not null")
-    return grams.groupBy("template", "license", "n_template", F.xxhash64("p.a", "p.b").alias("h")).agg(F.count("*").alias("in_template"))
+    return grams.groupBy("template", "license", "n_template", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.xxhash64("p.a", "p.b").alias("h")).agg(F.count("*").alias("in_template"))
+
+
+def _anchors(grams: DataFrame, threshold: float) -> list[str]:
+    """Words of which every passage that reaches the threshold has one.
+
+    Dice at the threshold needs t / (2 - t) of a template's bigrams; so many of them contain an
+    anchor that the rest are too few. Long words are taken first and COMMON ones
+    last, as texts have the former less often; the order changes the cost only.
+    """
+    of: dict[int, list[tuple[str, str, int]]] = {}
+    size: dict[int, int] = {}
+    for r in grams.select("template", "n_template", "a", "b", "in_template").collect():
+        of.setdefault(r.template, []).append((r.a, r.b, r.in_template))
+        size[r.template] = r.n_template
+    free = {k: max(1, math.ceil(n * threshold / (2 - threshold) - 1e-9)) - 1 for k, n in size.items()}
+    found: list[str] = []
+    while True:
+        gain: Counter[str] = Counter()
+        for k, rest in of.items():
+            if sum(n for _, _, n in rest) > free[k]:
+                for a, b, n in rest:
+                    for w in {a, b}:
+                        gain[w] += n
+        if not gain:
+            return found
+        best = max(gain, key=lambda w: (len(w) > 4, w not in COMMON, gain[w], w))
+        found.append(best)
+        of = {k: [g for g in rest if best not in g[:2]] for k, rest in of.items()}
+
+
+def _blank() -> Column:
+    return F.contains("norm", F.lit("\n\n")) | F.contains("norm", F.lit("\n \n"))
+
+
+def _texts(docs: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, row, norm of the texts that have an anchor of the templates; no other text can match."""
+    found = F.lit(False)
+    anchors = _anchors(grams, threshold)
+    for w in anchors:
+        if not any(x != w and x in w for x in anchors):
+            found = found | F.contains("lower", F.lit(w))
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), F.lower("text").alias("lower")).where(found)
+    return rows.select("doc_id", "row", _normal(F.col("text")).alias("norm"))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,15 +121,17 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     passage give one; ids may be null; an empty table gives no rows.
     """
     grams = _template_bigrams(docs.sparkSession, default_templates() if templates is None else templates)
+    return _lines_and_blocks(_texts(docs, grams, threshold), grams.drop("a", "b"), threshold)
+
+
+def _lines_and_blocks(text: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     ratio = (2 - threshold) / threshold
     sizes = [r[0] for r in grams.select("n_template").distinct().collect()]
     fits = F.lit(False)
     for a, b in _merged([(int(-(-n // ratio)), int(n * ratio)) for n in sizes]):
         fits = fits | F.col("n_bigrams").between(a, b)
 
-    text = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), _normal(F.col("text")).alias("norm")).where("norm is not null")
-    blank = F.contains("norm", F.lit("\n\n")) | F.contains("norm", F.lit("\n \n"))
-    blocks = F.when(blank, F.split("norm", " ?\n[ \n]*\n ?")).otherwise(F.array("norm"))
+    blocks = F.when(_blank(), F.split("norm", " ?\n[ \n]*\n ?")).otherwise(F.array("norm"))
     unit = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("unit"), i.alias("unit_no"), x.alias("passage"))
     units = F.concat(F.transform(F.split("norm", "\n"), unit("line")), F.filter(F.transform(blocks, unit("block")), lambda x: F.contains(x["passage"], F.lit("\n"))))
     units = text.select("doc_id", "row", F.explode(units).alias("u"))
@@ -99,6 +149,61 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     return found.select("doc_id", "unit", "unit_no", F.col("best.license").alias("license"), (-F.col("best.order")).alias("template"), "n_bigrams", F.col("best.overlap").alias("overlap"), F.col("best.dice").alias("dice")).distinct()
 
 
+_WINDOW = "array<struct<dice:double,overlap:long,order:int,place:int,n_bigrams:int,license:string>>"
+
+
+def scan_anywhere(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of scan_licenses, and those of passages that are no line or block.
+
+    unit 'text' is the whole text, where a blank line parts it. unit 'window' is as many words as
+    the template has (fewer at the end of the text), wherever they begin in the text; unit_no is
+    the place of its first word. A best window begins with a bigram of its template, so only those
+    are scored. Of windows that share words the one of largest Dice is returned (ties: more
+    overlap, the first template, the first place), then the next that shares no word with those
+    returned, and so on. Lines and blocks don't hide windows.
+
+    A bigram counts in the windows that begin after its in_template-th predecessor of the same
+    hash, so the overlaps of all windows are one running sum, in proportion to the bigrams that
+    the text and the template share. Texts without as many of them as the threshold needs are
+    dropped before, and those without an anchor are not even stored for the two scans. A text's
+    shared bigrams are held in memory. Nulls and repeats are as in
+    scan_licenses.
+    """
+    grams = _template_bigrams(docs.sparkSession, default_templates() if templates is None else templates)
+    text = stored(_texts(docs, grams, threshold))
+    grams = grams.drop("a", "b")
+    words = text.select("doc_id", "row", _blank().alias("parted"), F.split(F.trim(F.regexp_replace("norm", "[ \n]+", " ")), " ").alias("words"))
+    keys = ["doc_id", "row", "parted", "n_text"]
+    hits = words.withColumn("n_text", F.size("words") - 1).select(*keys, F.posexplode(_pairs(F.col("words"))).alias("pos", "p")).where("p.b is not null")
+    hits = hits.select(*keys, "pos", F.xxhash64("p.a", "p.b").alias("h")).join(F.broadcast(grams.select("h").distinct()), "h")
+    hits = hits.repartition("row").groupBy(*keys, "h").agg(F.sort_array(F.collect_list("pos")).alias("ps")).join(F.broadcast(grams), "h")
+    keys += ["template", "license", "n_template"]
+    shared = hits.groupBy(*keys).agg(F.sum(F.least(F.size("ps").cast("long"), "in_template")).alias("overlap"), F.collect_list(F.struct("ps", "in_template")).alias("hs"))
+    shared = shared.where(F.col("overlap") >= F.col("n_template") * F.lit(threshold / (2 - threshold)) - F.lit(1e-9))
+    reached = F.col("dice") >= F.lit(threshold)
+    dice = lambda n: (F.lit(2.0) * F.col("overlap") / (n + F.col("n_template"))).alias("dice")
+    found = lambda n, place: F.struct("dice", "overlap", (-F.col("template")).alias("order"), (-place).alias("place"), n.alias("n_bigrams"), "license")
+
+    at = F.explode("hs").alias("g")
+    at = shared.select(*keys, at).select(*keys, F.col("g.in_template").cast("int").alias("most"), "g.ps", F.posexplode("g.ps").alias("i", "pos"))
+    before = F.when(F.col("i") >= F.col("most"), F.get("ps", F.col("i") - F.col("most"))).otherwise(F.lit(-1))
+    step = lambda place, by: F.struct(place.alias("at"), F.lit(by).alias("by"))
+    steps = F.explode(F.array(step(F.greatest(before, F.col("pos") - F.col("n_template")) + 1, 1), step(F.col("pos"), 0), step(F.col("pos") + 1, -1)))
+    steps = at.select(*keys, steps.alias("s")).select(*keys, "s.at", "s.by")
+    running = F.sum("by").over(Window.partitionBy("row", "template").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    size = F.least(F.col("n_template"), F.col("n_text") - F.col("at"))
+    windows = steps.withColumn("overlap", running).where("by = 0").withColumn("dice", dice(size)).where(reached)
+    windows = windows.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(found(size, F.col("at"))), asc=False).alias("ws"))
+    meets = lambda x: lambda y: (-x["place"] <= -y["place"] + y["n_bigrams"]) & (-y["place"] <= -x["place"] + x["n_bigrams"])
+    apart = F.aggregate("ws", F.array().cast(_WINDOW), lambda kept, x: F.when(F.exists(kept, meets(x)), kept).otherwise(F.concat(kept, F.array(x))))
+    windows = windows.select("doc_id", F.lit("window").alias("unit"), F.explode(apart).alias("w"))
+
+    whole = shared.where("parted").withColumn("dice", dice(F.col("n_text"))).where(reached)
+    whole = whole.groupBy("doc_id", "row").agg(F.max(found(F.col("n_text"), F.lit(0))).alias("w")).select("doc_id", F.lit("text").alias("unit"), "w")
+    more = windows.unionByName(whole).select("doc_id", "unit", (-F.col("w.place")).alias("unit_no"), "w.license", (-F.col("w.order")).alias("template"), "w.n_bigrams", "w.overlap", "w.dice")
+    return _lines_and_blocks(text, grams, threshold).unionByName(more.distinct())
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The spans' union, as few spans."""
     out: list[tuple[int, int]] = []
@@ -111,4 +216,4 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_anywhere(table(spark, sf_dir, "documents"))

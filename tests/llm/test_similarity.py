@@ -160,3 +160,46 @@ def test_licenses_awkward(spark, awkward, nothing):
     twice = spark.createDataFrame([(1, "Released under the MIT License.")] * 2 + [(None, "Released under the MIT License.")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in L.scan_licenses(twice).collect()) == ["1", "None"]
     assert L.scan_licenses(twice, templates=[]).count() == 0
+
+
+def windows_brute(rows, templates, threshold=0.8):
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    pairs = lambda w: list(zip(w, w[1:], strict=False))
+    made, out = [pairs(words(t)) for _, t in templates], set()
+    for doc_id, text in rows:
+        g, scored = pairs(words(text)), []
+        for k, t in enumerate(made):
+            for i in range(len(g)):
+                part = g[i : i + len(t)]
+                overlap = (Counter(part) & Counter(t)).total()
+                if part[0] in t and 2 * overlap / (len(part) + len(t)) >= threshold:
+                    scored.append((2 * overlap / (len(part) + len(t)), overlap, -k, -i, len(part)))
+        kept = []
+        for w in sorted(scored, reverse=True):
+            if all(-w[3] > y[4] - y[3] or -y[3] > w[4] - w[3] for y in kept):
+                kept.append(w)
+        out |= {(doc_id, -i, -k, n, o, round(d, 9)) for d, o, k, i, n in kept}
+    return out
+
+
+def test_license_windows_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    templates = [("X", " ".join(rng.choice(list("abc"), 12))), ("Y", "a b a b a b"), ("Z", " ".join(rng.choice(list("abcde"), 30))), ("W", "a b c")]
+    rows = [(k, " ".join(rng.choice(list("abcdefgh"[: 3 + k % 6]), 80))) for k in range(40)]
+    rows += [(100 + k, rows[k][1] + "\n\n" + " ".join(templates[k % 4][1].split()[k % 3 :]) + ".\n " * (k % 2) + " a c") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = L.scan_anywhere(df, templates).where("unit = 'window'").collect()
+    want = windows_brute(rows, templates)
+    assert len(want) > 60 and {(r.doc_id, r.unit_no, r.template, r.n_bigrams, r.overlap, round(r.dice, 9)) for r in got} == want
+
+
+def test_license_anywhere(spark, awkward, nothing):
+    notice = L.NOTICES["MIT"]
+    whole = "The first part of a licence text.\n\nIts second part says other things.\n\nAnd it has a third one."
+    rows = [(1, "Some text. Released under the MIT License. More text."), (2, "Copyright 2020 A. Body and many more words of a long line of text\n" + notice + "\nand then other code " * 30), (3, whole), (3, whole), (4, "Released under the MIT License. " * 3), (5, "nothing of the kind"), (None, "So: released under the MIT License. More text.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.unit, r.license) for r in L.scan_anywhere(df, [*L.default_templates(), ("whole", whole)]).collect()]
+    assert (1, "window", "MIT") in got and (2, "window", "MIT") in got and (None, "window", "MIT") in got
+    assert got.count((3, "text", "whole")) == 1 and got.count((4, "window", "MIT")) == 3 and 5 not in {g[0] for g in got}
+    assert not {(1, "line", "MIT"), (2, "block", "MIT"), (3, "block", "whole")} & set(got)
+    assert L.scan_anywhere(awkward).count() == L.scan_anywhere(nothing).count() == L.scan_anywhere(df, []).count() == 0
