@@ -179,7 +179,7 @@ def covariate_left_join(spark, sf_dir):
 b AS (SELECT CAST(o_custkey AS VARCHAR) AS candidate, min(o_totalprice) AS price FROM orders GROUP BY 1)
 SELECT coalesce(a.candidate, b.candidate) AS candidate, bal, price FROM a FULL JOIN b ON a.candidate = b.candidate""")
 def covariate_full_outer(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("candidate"), F.col("c_acctbal").alias("bal"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("candidate"), F.col("c_acctbal").alias("bal"))
     b = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("candidate"), F.col("o_totalprice").alias("price"))
     return readers.merge_covariates([a, b])
 

@@ -170,3 +170,12 @@ def test_entry_points_import():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_full_outer_keeps_all_customers(spark, tmp_path):
+    from plumbline.plans.queries import QUERIES
+
+    spark.createDataFrame([(1, 10.0), (2, 20.0), (3, 30.0)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, 5.0), (1, 4.0), (2, 6.0), (9, 7.0)], "o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in QUERIES["covariate_full_outer"](spark, str(tmp_path)).select("candidate", "bal", "price").collect()}
+    assert got == {("1", 10.0, 4.0), ("2", 20.0, 6.0), ("3", 30.0, None), ("9", None, 7.0)}
