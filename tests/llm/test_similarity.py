@@ -203,3 +203,13 @@ def test_license_anywhere(spark, awkward, nothing):
     assert got.count((3, "text", "whole")) == 1 and got.count((4, "window", "MIT")) == 3 and 5 not in {g[0] for g in got}
     assert not {(1, "line", "MIT"), (2, "block", "MIT"), (3, "block", "whole")} & set(got)
     assert L.scan_anywhere(awkward).count() == L.scan_anywhere(nothing).count() == L.scan_anywhere(df, []).count() == 0
+
+
+def test_license_headers_keep_their_names(spark):
+    other = "{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    rows = [("GPL-2.0", other.format("This program", ";", "General Public License", ";", "2")), ("AGPL-3.0", other.format("This program", ":", "Affero General Public License", ",", "3")), ("LGPL-2.1", other.format("This library", ";", "Lesser General Public License", ";", "2.1")), ("LGPL-3.0", other.format("This program", ":", "Lesser General Public License", ",", "3")), ("GPL-3.0", L.NOTICES["GPL-3.0"])]
+    short = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    rows += [("BSD-2-Clause", L.NOTICES["BSD-2-Clause"]), ("BSD-3-Clause", L.NOTICES["BSD-3-Clause"]), ("none", short)]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.license) for r in L.scan_licenses(df).collect()}
+    assert got == {(k, name) for k, (name, _) in enumerate(rows) if name != "none"}
