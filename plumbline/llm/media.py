@@ -199,20 +199,21 @@ def clips(frames: np.ndarray) -> list[tuple[int, int]]:
 
     The difference of two neighbouring frames is half the sum of absolute differences of their
     16-bin histograms, as a share of the samples. A shot begins where it exceeds LEAST_CHANGE and
-    the mean plus DEVIATIONS deviations of the AROUND differences before it.
+    the mean plus DEVIATIONS deviations of the AROUND differences before it. The first difference
+    has none before it and is judged by LEAST_CHANGE alone; if it is a cut, later means leave it
+    out, and so the second is judged like the first.
     """
     n = len(frames)
     bins = np.bincount((np.arange(n)[:, None] * 16 + (frames.reshape(n, -1) >> 4)).ravel(), minlength=n * 16).reshape(n, 16)
     change = np.abs(np.diff(bins, axis=0)).sum(axis=1) / (2 * WIDTH * HEIGHT)
-    if n < 3:
-        starts = [0]
-    else:
-        c1, c2 = np.concatenate(([0], np.cumsum(change))), np.concatenate(([0], np.cumsum(change**2)))
-        i = np.arange(1, len(change))
-        a = np.maximum(0, i - AROUND)
-        mean = (c1[i] - c1[a]) / (i - a)
-        sd = np.sqrt(np.maximum(0, (c2[i] - c2[a]) / (i - a) - mean**2))
-        starts = [0, *(np.flatnonzero((change[i] > LEAST_CHANGE) & (change[i] > mean + DEVIATIONS * sd + 1e-9)) + 2).tolist()]
+    c1, c2 = np.concatenate(([0], np.cumsum(change))), np.concatenate(([0], np.cumsum(change**2)))
+    i = np.arange(len(change))
+    a = np.maximum(int(n > 1 and change[0] > LEAST_CHANGE), i - AROUND)
+    before = np.maximum(1, i - a)
+    mean = (c1[i] - c1[a]) / before
+    sd = np.sqrt(np.maximum(0, (c2[i] - c2[a]) / before - mean**2))
+    limit = np.where(i > a, mean + DEVIATIONS * sd + 1e-9, LEAST_CHANGE)
+    starts = [0, *(np.flatnonzero((change > LEAST_CHANGE) & (change > limit)) + 1).tolist()]
     return [(x, y - 1) for x, y in zip(starts, [*starts[1:], n], strict=True)]
 
 

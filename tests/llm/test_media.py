@@ -43,3 +43,12 @@ def test_query_and_awkward(spark, awkward, nothing, small):
     clips = M.clip_rows(M.store_media(docs)).collect()
     assert {c.doc_id for c in clips} == set(r.doc_id for r in docs.collect()) and all(c.end_s > c.start_s for c in clips)
     assert M.media_features(M.store_media(nothing)).count() == 0
+
+
+def test_cuts_after_the_first_frame():
+    dark, light = (np.full((1, M.HEIGHT, M.WIDTH), v, np.uint8) for v in (10, 200))
+    assert M.clips(np.concatenate((dark, light))) == [(0, 0), (1, 1)]
+    assert M.clips(np.concatenate((dark, dark))) == [(0, 1)]
+    assert M.clips(np.concatenate((dark, light, light))) == [(0, 0), (1, 2)]
+    assert M.clips(np.concatenate((dark, *[light] * 4, *[dark] * 4))) == [(0, 0), (1, 4), (5, 8)]
+    assert M.clips(dark) == [(0, 0)]
