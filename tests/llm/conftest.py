@@ -15,13 +15,15 @@ ROWS = [
     (None, "alpha beta gamma delta epsilon zeta eta theta", "en", "s0"),
     (11, "\u0000 \x1c\x1f 😀👩‍👩‍👧", "es", "s0"),
 ]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, h long, part int"
+#: Names that operators make, or use inside.
+CLASHING = ["score", "lang_pred", "held_out", "p_toxic", "p_low_quality", "toxic", "__text", "r", "i", "t", "n", "th", "cls", "row", "id", "size", "group", "shard", "slot", "bucket", "first", "unit", "dice", "license", "n_tokens", "ids", "crcs", "chunk", "piece", "start", "offset", "length", "sequence_id", "file", "payload", "frames", "media", "feature", "s", "next_s", "edited", "after", "fingerprint", "n_shingles", "component_id", "copies", "words"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, h long, part int, " + ", ".join(f"{c} int" for c in CLASHING)
 
 
 @pytest.fixture(scope="session")
 def awkward(spark):
     """With extra columns whose names operators use inside."""
-    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3) for r in ROWS], SCHEMA)
+    return spark.createDataFrame([(*r, len(r[1] or ""), 1, 2, 3, *range(len(CLASHING))) for r in ROWS], SCHEMA)
 
 
 @pytest.fixture(scope="session")

@@ -55,15 +55,75 @@ def test_jaccard_equals_brute_force(spark, small, n, num, den):
     assert got == brute(rows, n, num, den)
 
 
+def by_rows(rows, n, num, den):
+    """(doc_id, size, component) of each row: all texts of a doc_id are one document."""
+    sets = [gram_set(t, n) for _, t in rows]
+    own = [k for k, (i, _) in enumerate(rows) if i is not None and sets[k]]
+    linked = [(a, b) for x, a in enumerate(own) for b in own[x + 1 :] if rows[a][0] == rows[b][0] or den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    found = groups(linked, range(len(rows)))
+    least = {}
+    for k in own:
+        least[found[k]] = min(least.get(found[k], rows[k][0]), rows[k][0])
+    return sorted(((i, len(sets[k]), least.get(found[k], i)) for k, (i, _) in enumerate(rows)), key=str)
+
+
 def test_jaccard_by_shuffle_and_small_blocks(spark, small, monkeypatch):
-    monkeypatch.setattr(J, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(J, "PIVOT_BLOCK", 500)
-    monkeypatch.setattr(J, "COMMON_MOST", 3)
+    for name, value in (("BROADCAST_KEYS", 0), ("PIVOT_BLOCK", 500), ("COMMON_FIRST", 3), ("HEAVY", 2), ("PIECE", 2), ("CELL_BITS", 5)):
+        monkeypatch.setattr(J, name, value)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.op10_jaccard_join(spark, small).collect()}
     assert got == brute(rows, 4, 85, 100)
 
 
+def repeated_ids():
+    """Documents 1, 2, 3 are near copies, 4 is a copy of another text of 3; more ids repeat at random."""
+    rng = np.random.default_rng(8)
+    text = lambda k, swaps: " ".join(np.where(np.isin(np.arange(60), swaps), f"x{k}", [f"{k}w{i}" for i in range(60)]))
+    rows = [(1, text(1, [])), (2, text(1, [59])), (3, text(1, [0])), (3, text(2, [])), (4, text(2, [])), (3, None), (3, ""), (None, text(1, [])), (7, text(3, [])), (7, text(3, []))]
+    return rows + [(int(rng.integers(10, 30)), text(int(rng.integers(5, 12)), [int(rng.integers(0, 60))] if rng.integers(2) else [])) for _ in range(60)]
+
+
+def test_jaccard_keeps_links_of_repeated_ids(spark):
+    rows = repeated_ids()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_components(df).collect()), key=str)
+    assert got == by_rows(rows, 4, 85, 100) and (4, 57, 1) in got
+
+
+def test_one_of_each_group_stays(spark, awkward, nothing):
+    rows = repeated_ids()
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, th int")
+    got = J.one_of_each(df, 4, 85, 100)
+    assert got.columns == df.columns
+    sets = [gram_set(t, 4) for _, t in rows]
+    own = [k for k, (i, _) in enumerate(rows) if i is not None and sets[k]]
+    found = groups([(a, b) for x, a in enumerate(own) for b in own[x + 1 :] if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])], own)
+    kept = [r.th for r in got.collect()]
+    assert sorted(k for k in range(len(rows)) if k not in found) == sorted(k for k in kept if k not in found)
+    groups_of = {}
+    for k, c in found.items():
+        groups_of.setdefault(c, []).append(k)
+    for members in groups_of.values():
+        stays = [k for k in members if k in kept]
+        assert len(stays) == 1 and rows[stays[0]][0] == min(rows[k][0] for k in members)
+    assert J.one_of_each(awkward, 5, 80, 100).columns == awkward.columns
+    assert J.one_of_each(nothing, 5, 80, 100).count() == 0
+
+
+def test_a_passage_of_many_unlinked_documents_makes_few_pairs(spark, monkeypatch):
+    """3000 documents share a passage and nothing else: no quadratic number of pairs is made."""
+    monkeypatch.setattr(J, "COMMON", 1 << 40)  # nothing is known to be common from the start
+    made = []
+    across = J._across
+    monkeypatch.setattr(J, "_across", lambda *a: made.append(across(*a)) or made[-1])
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(k, passage + " " + " ".join(f"d{k}w{i}" for i in range(40 + k % 60))) for k in range(3000)]
+    rows += [(5000 + k, rows[k][1] + " end") for k in range(20)]
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    assert made[0].count() < 30_000
+
+
 def test_jaccard_awkward(spark, awkward, nothing):
     rows = J.jaccard_components(awkward).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in rows}
