@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored, table
-from plumbline.llm.jaccard import jaccard_components, of_ids
+from plumbline.llm.jaccard import one_of_each
 from plumbline.llm.langid import UNKNOWN, fit, held_out, identify
 from plumbline.llm.packing import pack
 from plumbline.llm.toxicity import THRESHOLD, score
@@ -36,15 +36,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies (five-word shingles, similarity 0.8 or more).
 
-    Rows of null doc_id are in no group and stay; of rows that repeat a kept doc_id, one stays.
+    Groups are of texts: differing texts under one doc_id are judged apart, so none is lost that has
+    no near copy. Rows of null doc_id and texts without words are in no group and stay; of rows that
+    repeat doc_id and text, one stays. An empty table gives an empty one.
     """
-    groups = jaccard_components(docs, words=5, num=80, den=100).where("doc_id is not null")
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = stored(first)
-    kept = of_ids(docs, first.select("doc_id"))
-    if first.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    return one_of_each(docs, words=5, num=80, den=100)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
