@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes in an Arrow batch: texts may be long, so batches are kept small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -24,15 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir; only where it is unset (as in tests)
-    a temporary folder takes its place.
+    The cluster names that folder in spark.checkpoint.dir. Only where it is unset and all tasks run on
+    the driver's machine (as in tests) a temporary folder takes its place; elsewhere that's an error.
+    What the application leaves there is deleted when the driver's JVM ends.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = getattr(spark.sparkContext, "_plumbline_scratch", None)
-        if root is None:
-            root = spark.sparkContext._plumbline_scratch = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    root = getattr(context, "_plumbline_scratch", None)
+    if root is None:
+        shared = context.getConf().get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = shared or tempfile.mkdtemp(prefix="plumbline-")
+        root = context._plumbline_scratch = f"{shared.rstrip('/')}/{context.applicationId}"
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -46,9 +56,13 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Deletes what stored() and the file operators of this application have written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark).rpartition("/")[0])
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes at once what stored() and the file operators of this application have written."""
+    context = spark.sparkContext
+    root = getattr(context, "_plumbline_scratch", None)
+    if root is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        context._plumbline_scratch = None
 
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
@@ -62,3 +76,16 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[
         size += n
     if texts:
         yield first, len(texts)
+
+
+def with_kept(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """A struct `kept` of the columns to keep, and the text beside it if it isn't among them."""
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("kept")
+    return docs.select(kept) if "text" in keep else docs.select(kept, F.col("text").alias("text"))
+
+
+def text_and_kept(batch: pa.RecordBatch) -> tuple[list[str | None], pa.StructArray]:
+    """The texts and the struct of a batch of with_kept()."""
+    kept = batch.column("kept")
+    text = batch.column("text") if batch.num_columns > 1 else kept.flatten()[kept.type.get_field_index("text")]
+    return text.to_pylist(), kept

@@ -17,7 +17,8 @@ def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Colu
     Words are the runs between ASCII white space, in lower case; a text of fewer words than a
     shingle has one, all its words; one without words (or null) has none. A text none of whose
     hashes lies below keeps its smallest one, so only texts without words have empty sketches.
-    Sketches merge: the union's sketch is what lies below in either, or else the smaller smallest.
+    Sketches merge, by merge(): the union's sketch is what lies below in either, or else the smaller
+    smallest.
     """
     limit = F.lit(_LEAST + int(fraction * (1 << 64)))
     hashes = F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -34,6 +35,17 @@ def sketch(text: Column, words: int = WORDS, fraction: float = FRACTION) -> Colu
     return _once(_once(hashes, kept), below)
 
 
+def merge(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """The sketch of the union of two shingle sets, from their sketches of the same fraction."""
+    limit = F.lit(_LEAST + int(fraction * (1 << 64)))
+
+    def below(u: Column) -> Column:
+        low = F.filter(u, lambda x: x < limit)
+        return F.when((F.size(low) > 0) | (F.size(u) == 0), F.sort_array(low)).otherwise(F.array(F.array_min(u)))
+
+    return _once(F.array_union(a, b), below)
+
+
 def _once(value: Column, use) -> Column:
     """use(value), where value is computed once however often `use` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -113,4 +125,5 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = F
 
 
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edited_fingerprints() of all documents; see there for awkward rows."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

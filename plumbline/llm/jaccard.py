@@ -28,9 +28,9 @@ BROADCAST_KEYS = 1 << 18
 #: Blocks of the incidence matrix: the hashes of a row of more than CELL n-grams are cut at their top
 #: bits into 2 ** k cells of about CELL or fewer.
 CELL_BITS = 20
-#: n-grams of partners that a pivot is multiplied with in one place, and members of an n-gram's list
-#: that meet all others in one place.
-PIVOT_BLOCK, PIECE = 2_000_000, 1024
+#: n-grams of partners that a pivot is multiplied with in one place (or SHARE times its own, if that is
+#: more), and members of an n-gram's list that meet all others in one place.
+PIVOT_BLOCK, SHARE, PIECE = 1 << 16, 16, 1024
 
 
 def _shingles(column, words: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -188,7 +188,7 @@ def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int
     used = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     rows = stored(_text_of(texts, classes, used).mapInArrow(_rows_step(words), "cls long, copies long, n long, cell int, row binary"))
     rows = _single(rows, ["cls", "n", "cell"])
-    weight = pairs.groupBy("a").agg(F.sum("n_b").alias("w")).select("a", F.ceil(F.col("w") / F.lit(PIVOT_BLOCK)).cast("int").alias("parts"))
+    weight = pairs.groupBy("a", "n_a").agg(F.sum("n_b").alias("w")).select("a", F.ceil(F.col("w") / F.greatest(F.lit(PIVOT_BLOCK), F.col("n_a") * SHARE)).cast("int").alias("parts"))
     level = F.least(_cell_level(F.col("n_a")), _cell_level(F.col("n_b")))
     pairs = pairs.join(weight, "a").select("a", "b", "n_a", "n_b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), level.alias("level"))
     cells = lambda d, side: d.join(rows.select(F.col("cls").alias(side), F.col("n").alias("n_own"), F.col("cell").alias("fine"), "row"), side).withColumn("cell", F.expr(f"shiftright(fine, greatest(0, length(bin(n_own - 1)) - {CELL_BITS}) - level)"))

@@ -8,15 +8,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import slices, table
+from plumbline.llm.common import slices, stored, table, text_and_kept, with_kept
 
 #: Bytes of a window, widths of the filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
-#: Bound of the training sample: documents, and windows spread over each of them.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 4000, 3
+#: Bounds of the training sample: documents of all languages together (each has an equal share), windows
+#: spread over each of them, and languages (the most frequent ones).
+SAMPLE_DOCS, SAMPLE_WINDOWS, LANGUAGES = 4000, 3, 256
 STEPS, BATCH, RATE, SEED = 700, 64, 0.02, 7
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -80,6 +81,34 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def gradients(filters: list[np.ndarray], bias: np.ndarray, out: np.ndarray, out_bias: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean cross-entropy of the windows x with labels y, and its gradient by each parameter."""
+    n, count = len(x), bias.size // len(filters)
+    pooled, where = [], []
+    for f in filters:
+        size = x.shape[1] - len(f) + 1
+        s = f[0][x[:, :size]]
+        for k in range(1, len(f)):
+            s = s + f[k][x[:, k : k + size]]
+        where.append(s.argmax(axis=1))
+        pooled.append(s.max(axis=1))
+    h = np.concatenate(pooled, axis=1) + bias
+    a = np.maximum(h, 0)
+    g = _softmax(a @ out + out_bias)
+    loss = float(-np.log(g[np.arange(n), y] + 1e-30).mean())
+    g[np.arange(n), y] -= 1
+    g /= n
+    dh = (g @ out.T) * (h > 0)
+    grads: list[np.ndarray] = []
+    row = np.arange(n)[:, None]
+    for i, f in enumerate(filters):
+        gf = np.zeros_like(f)
+        for k in range(len(f)):
+            np.add.at(gf[k], (x[row, where[i] + k], np.arange(count)[None, :]), dh[:, i * count : (i + 1) * count])
+        grads.append(gf)
+    return loss, [*grads, dh.sum(axis=0), a.T @ g, g.sum(axis=0)]
+
+
 def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = STEPS) -> ByteConvNet:
     """Adam on the cross-entropy of windows x; labels are drawn evenly."""
     rng = np.random.default_rng(SEED)
@@ -94,30 +123,7 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = STEPS) -
     of = [o for o in of if len(o)]
     for step in range(1, steps + 1):
         pick = np.array([rng.choice(of[k % len(of)]) for k in range(BATCH)])
-        b = x[pick]
-        pooled, where = [], []
-        for w, f in zip(WIDTHS, filters, strict=True):
-            n = WINDOW - w + 1
-            s = f[0][b[:, :n]]
-            for k in range(1, w):
-                s = s + f[k][b[:, k : k + n]]
-            where.append(s.argmax(axis=1))
-            pooled.append(s.max(axis=1))
-        h = np.concatenate(pooled, axis=1) + bias
-        a = np.maximum(h, 0)
-        g = _softmax(a @ out + out_bias)
-        g[np.arange(BATCH), y[pick]] -= 1
-        g /= BATCH
-        dh = (g @ out.T) * (h > 0)
-        grads: list[np.ndarray] = []
-        row = np.arange(BATCH)[:, None]
-        for i, w in enumerate(WIDTHS):
-            d = dh[:, i * FILTERS : (i + 1) * FILTERS]
-            gf = np.zeros_like(filters[i])
-            for k in range(w):
-                np.add.at(gf[k], (b[row, where[i] + k], np.arange(FILTERS)[None, :]), d)
-            grads.append(gf)
-        grads += [dh.sum(axis=0), a.T @ g, g.sum(axis=0)]
+        _, grads = gradients(filters, bias, out, out_bias, x[pick], y[pick])
         for p, q, mm, vv in zip(params, grads, m, v, strict=True):
             mm += 0.1 * (q - mm)
             vv += 0.01 * (q * q - vv)
@@ -126,49 +132,65 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = STEPS) -
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by 5; a null id isn't held out (and not learned from)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def _windows_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SAMPLE_WINDOWS windows spread evenly over each text (all, if it has fewer)."""
+    for batch in batches:
+        cut = []
+        for t in batch.column("text").to_pylist():
+            w = windows(t.encode())
+            cut.append(w[np.unique(np.linspace(0, len(w) - 1, SAMPLE_WINDOWS).astype(int))].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("th"), pa.array(cut, pa.binary())], ["lang", "th", "cut"])
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> ByteConvNet:
     """The network learned from text and lang of at most sample_docs documents.
 
-    The sample is the documents of smallest hashed id among those that aren't held out and have
-    text and lang, with SAMPLE_WINDOWS windows spread evenly over each text. With no such document
-    the only label is `und`.
+    The labels are the languages of all documents that aren't held out and have an id, a lang and a
+    letter in the text (the LANGUAGES most frequent, ties by name); of each, an equal number of distinct
+    texts is drawn, those of smallest hash, with SAMPLE_WINDOWS windows of each, which the tasks cut.
+    With no such document the only label is `und`.
     """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    # ids first, so that tasks don't each send as many texts
-    picks = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    rows = sorted(rows.join(F.broadcast(picks), "doc_id").collect(), key=lambda r: (r.doc_id, r.text, r.lang))
-    if not rows:
+    rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.xxhash64("text").alias("th"), "text")
+    texts = stored(rows.select("lang", "th").distinct())
+    counts = texts.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
         return ByteConvNet([UNKNOWN], [np.zeros((w, 256, FILTERS), np.float32) for w in WIDTHS], np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros((FILTERS * len(WIDTHS), 1), np.float32), np.zeros(1, np.float32))
-    labels = sorted({r.lang for r in rows})
-    x, y = [], []
-    for r in rows:
-        w = windows(r.text.encode())
-        w = w[np.unique(np.linspace(0, len(w) - 1, SAMPLE_WINDOWS).astype(int))]
-        x.append(w)
-        y += [labels.index(r.lang)] * len(w)
-    return train(np.concatenate(x), np.array(y), labels)
+    labels = sorted(r.lang for r in counts)
+    each = max(1, sample_docs // len(labels))
+    # hashes under a bound that some four times as many texts keep, so that no task orders all of a language
+    bound = F.create_map(*(F.lit(v) for r in counts for v in (r.lang, min(1 << 32, (1 << 32) * (4 * each + 100) // r.n))))
+    drawn = texts.where(F.pmod(F.xxhash64("th"), F.lit(1 << 32)) < F.try_element_at(bound, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("th"), F.lit(1 << 32)), "th"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "th")
+    found = rows.join(F.broadcast(drawn), ["lang", "th"]).mapInArrow(_windows_step, "lang string, th long, cut binary")  # sample_docs rows at most
+    found = sorted(found.groupBy("lang", "th").agg(F.min("cut").alias("cut")).collect(), key=lambda r: (r.lang, r.th))
+    x = [np.frombuffer(r.cut, np.uint8).reshape(-1, WINDOW) for r in found]
+    y = np.repeat([labels.index(r.lang) for r in found], [len(w) for w in x])
+    return train(np.concatenate(x), y, labels)
 
 
 def _predict_step(net: ByteConvNet):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, kept = text_and_kept(batch)
             for i, j in slices(texts, 500_000):
                 part = [t or "" for t in texts[i:j]]
                 langs, scores = net.predict(part)
                 blank = [not _LETTER.search(t) for t in part]
                 lang = [UNKNOWN if b else x for x, b in zip(langs, blank, strict=True)]
                 score = [0.0 if b else x for x, b in zip(scores, blank, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), pa.array(lang), pa.array(score)], [*batch.schema.names[1:], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([kept.slice(i, j - i), pa.array(lang), pa.array(score)], ["kept", "lang_pred", "score"])
 
     return step
 
 
 def identify(docs: DataFrame, net: ByteConvNet, keep: list[str]) -> DataFrame:
-    """The columns `keep` (renamed freely beforehand) with lang_pred and score for each row of docs.
+    """kept (a struct of the columns `keep`, so that names don't clash), lang_pred and score for each
+    row of docs.
 
     All windows of a text count. Null text, and text without a letter, gives `und` and 0. Repeated
     rows stay; an empty table gives no rows. The network (under 2 MB, whatever the input) goes to
@@ -176,8 +198,8 @@ def identify(docs: DataFrame, net: ByteConvNet, keep: list[str]) -> DataFrame:
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    fields = [docs.schema[c] for c in keep]
-    schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rows = with_kept(docs, keep)
+    schema = StructType([rows.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     light = ByteConvNet.__new__(ByteConvNet)
     light.__dict__.update({k: v for k, v in net.__dict__.items() if k != "pairs"})
 
@@ -185,10 +207,12 @@ def identify(docs: DataFrame, net: ByteConvNet, keep: list[str]) -> DataFrame:
         light.__post_init__()
         yield from _predict_step(light)(batches)
 
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(step, schema)
+    return rows.mapInArrow(step, schema)
 
 
 def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() of all documents by the network of fit(); a null doc_id isn't held out. See there for
+    null, empty and repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return identify(rows, fit(docs), ["doc_id", "held_out"])
+    told = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), fit(docs), ["doc_id", "held_out"])
+    return told.select("kept.doc_id", "kept.held_out", "lang_pred", "score")

@@ -224,4 +224,5 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_anywhere() of all documents with the default templates; see there for awkward rows."""
     return scan_anywhere(table(spark, sf_dir, "documents"))

@@ -284,4 +284,5 @@ def clip_rows(media: DataFrame) -> DataFrame:
 
 
 def op8_avi_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_features() of store_media() of all documents; see there for awkward rows."""
     return media_features(store_media(table(spark, sf_dir, "documents")))

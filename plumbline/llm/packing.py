@@ -111,4 +111,5 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
 
 def op7_pack_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents; see there for null, empty, repeated and tied rows and empty tables."""
     return pack(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -17,6 +18,9 @@ from plumbline.llm.common import slices, table
 
 #: Words whose encoding a Python worker keeps; beyond, it starts anew.
 CACHE = 400_000
+#: Bytes up to which a word is short (longer ones are merged one by one and not kept), rows and cells
+#: (rows times width) of a matrix of short words.
+SHORT, ROWS, CELLS = 512, 4096, 1 << 18
 _NONE = np.iinfo(np.int32).max
 _encoders: dict[str, RankBpe] = {}
 
@@ -28,7 +32,8 @@ class RankBpe:
     case) and split into words, whose UTF-8 bytes are the first parts; the last carries the word
     end. Each word is a row of two arrays, part ids and the ranks of adjacent parts. The least rank
     (the leftmost, if equal) is looked for, its right boundary deleted, and the two ranks beside it
-    are refreshed, until no adjacent parts have a rank.
+    are refreshed, until no adjacent parts have a rank. A word of over SHORT bytes, whose array would be
+    scanned too often, keeps its ranks in a heap and its parts in a linked list; the choice is the same.
     """
 
     def __init__(self, path: str):
@@ -52,6 +57,8 @@ class RankBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.made = keys[order], order.astype(np.int32), made[order]
         self.cache: dict[str, tuple[int, str, str]] = {}
+        self.passing: list[str] = []
+        self.pairs: dict[int, tuple[int, int]] = {}
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rank of each adjacent pair (the largest integer if none) and what it merges to."""
@@ -64,14 +71,51 @@ class RankBpe:
         """The ids of each word."""
         data = [w.encode() for w in words]
         out: list[list[int]] = [[] for _ in words]
-        by_length = sorted(range(len(words)), key=lambda i: len(data[i]))
-        for a in range(0, len(by_length), 4096):
-            rows = [i for i in by_length[a : a + 4096] if data[i]]
-            if rows:
-                for i, ids in zip(rows, self._merge_rows([data[i] for i in rows]), strict=True):
-                    out[i] = ids
+        by_length = sorted((i for i in range(len(words)) if data[i]), key=lambda i: len(data[i]))
+        while by_length and len(data[by_length[-1]]) > SHORT:
+            i = by_length.pop()
+            out[i] = self._merge_long(data[i])
+        a = 0
+        while a < len(by_length):
+            b = min(a + ROWS, len(by_length))
+            while b > a + 1 and (b - a) * len(data[by_length[b - 1]]) > CELLS:
+                b = a + max(1, (b - a) // 2)
+            for i, ids in zip(by_length[a:b], self._merge_rows([data[i] for i in by_length[a:b]]), strict=True):
+                out[i] = ids
+            a = b
         return out
 
+    def _merge_long(self, data: bytes) -> list[int]:
+        """The ids of one word: a heap of (rank, place) and the places before and after each part."""
+        if not self.pairs:
+            self.pairs = dict(zip(self.keys.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        n, pairs, width = len(data), self.pairs, self.width
+        part = self.byte_id[np.frombuffer(data, np.uint8)]
+        part[-1] = self.last_id[data[-1]]
+        ranks, _ = self._ranks(part[:-1], part[1:])
+        known = np.flatnonzero(ranks != _NONE)
+        heap = (ranks[known].astype(np.int64) * (1 << 32) + known).tolist()
+        heapq.heapify(heap)
+        part, after, before = part.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), 1 << 32)
+            j = after[i]
+            if part[i] < 0 or j >= n:
+                continue
+            found = pairs.get(part[i] * width + part[j])
+            if found is None or found[0] != rank:
+                continue  # the parts have changed since
+            part[i], part[j] = found[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n:
+                    found = pairs.get(part[left] * width + part[right])
+                    if found is not None:
+                        heapq.heappush(heap, found[0] * (1 << 32) + left)
+        return [p for p in part if p >= 0]
+
     def _merge_rows(self, data: list[bytes]) -> list[list[int]]:
         """Words of about equal length; -1 in a row of parts stands after its last part."""
         size = np.array([len(d) for d in data])
@@ -125,9 +169,12 @@ class RankBpe:
                 found.append([w for k, p in enumerate(parts) for w in ([p] if k % 2 else self.words(p))])
             else:
                 found.append(self.words(text))
+        for w in self.passing:
+            self.cache.pop(w, None)
         if len(self.cache) > CACHE:
             self.cache = {}
         new = list(set().union(*found).difference(self.cache))
+        self.passing = [w for w in new if len(w) > SHORT]
         for w, ids in zip(new, self.merge(new), strict=True):
             ids = [self.special[w]] if w in self.special else ids
             self.cache[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
@@ -188,7 +235,8 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, decoded of each whole text.
 
     Null text is empty: no ids, and the empty string decoded. Null doc_ids and repeated rows stay;
-    an empty table gives no rows. No row needs another, so nothing is shuffled.
+    further columns, of whatever name, aren't read; an empty table gives no rows. No row needs
+    another, so nothing is shuffled.
     """
     return _texts(docs).mapInArrow(_encode_step(tokenizer or default_path(), True), "doc_id long, n_tokens long, ids array<int>, decoded string")
 

@@ -111,7 +111,8 @@ def minimax_shards(facts: DataFrame, shards: int = 8) -> DataFrame:
     The groups are ordered by `group`, a digest, so contents don't bias the order. The shards are
     contiguous runs of groups, and no other cut of that order has a smaller largest shard.
     Null ids come first among the slots of their bucket; repeated rows each get a slot; an empty
-    table gives an empty result; further columns pass through.
+    table gives an empty result; further columns pass through, but for any named shard or slot, which
+    the result's replace.
 
     Groups are aggregated before they are shuffled, so a group with a third of all rows is one row
     from there on, and rows get their shard by comparing digests, without a join.
@@ -131,14 +132,15 @@ def minimax_shards(facts: DataFrame, shards: int = 8) -> DataFrame:
         last = groups.where(F.col("upto").isin([e for e in set(ends) if e < total])).select("group").collect()
         for row in last:
             shard = shard + (F.col("group") > F.lit(row[0])).cast("int")
-    placed = facts.withColumn("shard", shard)
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id", "size"), F.lit(BUCKETS)).cast("int"))
+    rest = [c for c in facts.columns if c not in ("shard", "slot")]
+    bucket = F.pmod(F.xxhash64("id", "size"), F.lit(BUCKETS)).cast("int")
+    placed = facts.select(F.struct(*rest).alias("r"), "id", "group", shard.alias("shard"), bucket.alias("bucket"))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))  # shards * BUCKETS rows at most
     start = F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")
     counts = F.broadcast(counts.select("shard", "bucket", start.alias("first")))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "group"))
     placed = placed.join(counts, ["shard", "bucket"])
-    return placed.withColumn("slot", F.col("first") + place - F.lit(1)).drop("bucket", "first")
+    return placed.select("r", "shard", (F.col("first") + place - F.lit(1)).alias("slot")).select("r.*", "shard", "slot")
 
 
 def text_facts(docs: DataFrame) -> DataFrame:

@@ -56,4 +56,8 @@ def test_awkward(spark, awkward, nothing):
     got = S.minimax_shards(S.text_facts(awkward), 8).collect()
     assert len(got) == awkward.count()
     assert len({r.shard for r in got if r.id in (0, 3, None)}) == 1
+    extra = S.text_facts(awkward).withColumns({c: F.lit(9) for c in ("shard", "slot", "bucket", "first", "r", "n", "cell")})
+    more = S.minimax_shards(extra, 8)
+    assert sorted(more.columns) == sorted(extra.columns) and {r.bucket for r in more.collect()} == {9}
+    assert sorted((str(r.id), r.shard, r.slot) for r in more.collect()) == sorted((str(r.id), r.shard, r.slot) for r in got)
     assert S.minimax_shards(S.text_facts(nothing), 8).count() == 0

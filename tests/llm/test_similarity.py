@@ -1,9 +1,11 @@
 import hashlib
 import re
+import struct
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import fingerprints as FP
@@ -155,7 +157,7 @@ def test_fingerprints(spark, small):
     got = {r.doc_id: r for r in FP.op2_scaled_sketch(spark, small).collect()}
     assert len(got) == len(rows)
     words = lambda t: [w for w in re.split(r"[ \t\n\x0b\f\r]+", t.lower()) if w]
-    shingles = lambda t: {tuple(words(t)[i : i + 5]) for i in range(max(1, len(words(t)) - 4))}
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(max(1, len(w) - 4))}
     wrong, by_text = [], {}
     for (doc_id, text), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
         r, half = got[doc_id], len(text) // 2
@@ -187,6 +189,46 @@ def test_fingerprints_merge_and_awkward(spark, awkward, nothing, monkeypatch):
     assert r[0] > 0.95 and r[1] < 0.2 and 350 < r[2] < 650
 
 
+def plain_sketch(text, words=FP.WORDS, fraction=FP.FRACTION):
+    """All shingle hashes, and those below the fraction (or the smallest), by the xxhash library."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    hashes = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    found = set()
+    for i in range(max(1, len(hashes) - words + 1) if hashes else 0):
+        seed = 42
+        for h in hashes[i : i + words]:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), seed)
+        found.add(signed(seed))
+    low = sorted(x for x in found if x < -(1 << 63) + int(fraction * (1 << 64)))
+    return found, low or sorted(found)[:1]
+
+
+def test_fingerprints_equal_plain_sketches(spark, small):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect() if len(r.text) < 4000)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in FP.edited_fingerprints(df).collect()}
+    likeness = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    shown = lambda s: ",".join(f"{x & (2**64 - 1):x}" for x in s)
+    for (doc_id, text), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        half = len(text) // 2
+        a, b, c = (plain_sketch(t)[1] for t in (text, text[: len(text) - half] + after[:half], after))
+        r = got[doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(a), shown(b))
+        assert (r.near_edited, r.near_next) == (pytest.approx(likeness(a, b)), pytest.approx(likeness(a, c)))
+        assert r.contained_in_edited == pytest.approx(len(set(a) & set(b)) / len(a) if a else 1.0)
+
+
+def test_sketches_merge(spark):
+    rng = np.random.default_rng(6)
+    texts = ["", "one", "a b c d e f", "a b c d e"] + [" ".join(f"w{k}" for k in rng.integers(0, 300, n)) for n in (5, 6, 8, 40, 400, 4000)]
+    df = spark.createDataFrame([(x, y) for x in texts for y in texts], "a string, b string")
+    got = df.select("a", "b", FP.merge(FP.sketch(F.col("a")), FP.sketch(F.col("b"))).alias("m")).collect()
+    for r in got:
+        union = plain_sketch(r.a)[0] | plain_sketch(r.b)[0]
+        low = sorted(x for x in union if x < -(1 << 63) + int(FP.FRACTION * (1 << 64)))
+        assert r.m == (low or sorted(union)[:1])
+
+
 def license_brute(rows, templates, threshold=0.8):
     norm = lambda t: re.sub(r"[^a-z0-9\n]+", " ", t.lower())
     grams = lambda t: Counter((a, b) for w in [t.split()] for a, b in zip(w, w[1:], strict=False))

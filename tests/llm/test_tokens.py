@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from plumbline.llm import packing, rank_bpe, token_orc
@@ -117,3 +118,59 @@ def test_rank_bpe_equals_the_library(spark, awkward, nothing, small):
         ids = WORD.encode(text, add_special_tokens=False).ids
         assert digest[doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert digest[doc_id].decoded_sha256 == hashlib.sha256(WORD.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_long_words_equal_the_library():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), n)) for n in (511, 512, 513, 700, 30_000)] + ["a" * 3000, "ab" * 700, "ééé" * 900, "thequickbrown" * 90]
+    text = " ".join(words)
+    bpe = rank_bpe.RankBpe(rank_bpe.default_path())
+    ids = [int(x) for w in bpe.encode([text])[0] for x in bpe.cache[w][1].split()]
+    assert ids == WORD.encode(text, add_special_tokens=False).ids
+    bpe.encode(["short"])
+    assert max(map(len, bpe.cache)) <= rank_bpe.SHORT  # long words aren't kept
+
+
+def test_matrices_are_bounded(monkeypatch):
+    bpe, shapes = rank_bpe.RankBpe(rank_bpe.default_path()), []
+    rows = bpe._merge_rows
+    monkeypatch.setattr(bpe, "_merge_rows", lambda d: shapes.append((len(d), max(map(len, d)))) or rows(d))
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    bpe.encode([" ".join([letters(i) for i in range(9000)] + ["x" * 500 + letters(i) for i in range(3000)] + ["y" * 100_000])])
+    assert all(n * w <= rank_bpe.CELLS and w <= rank_bpe.SHORT for n, w in shapes) and len(shapes) > 5
+
+
+def rows_read(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_orc_skips_by_row_index_and_bloom_filter(spark):
+    path = shared_dir(spark)
+    docs = spark.createDataFrame([(2 * i, f"text {i}") for i in range(20_000)], "doc_id long, text string")
+    token_orc.write_tokens(docs, path)
+    assert rows_read(token_orc.read_tokens(spark, path)) == 20_000
+    one = token_orc.read_tokens(spark, path, [10_000])
+    assert [r.doc_id for r in one.collect()] == [10_000] and rows_read(one) <= 2000  # by the row index
+    assert rows_read(token_orc.read_tokens(spark, path, [10_001])) == 0  # within the bounds: by the Bloom filter
+
+
+def test_starts_follow_the_files_order_in_equal_ids(spark):
+    path = shared_dir(spark)
+    texts = ["z", "a b c d", "m m", "a b c d", ""]
+    token_orc.write_tokens(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"), path)
+    stored = spark.read.schema(token_orc.STORED).orc(path).orderBy("place").collect()
+    got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_orc.token_starts(spark, path).collect())
+    start = 0
+    for r, (at, n, crc), text in zip(stored, got, sorted(texts), strict=True):
+        assert (at, n, crc) == (start, r.n_tokens, zlib.crc32(ids_of(text)))
+        start += n
+
+
+def test_scratch_needs_a_shared_folder_off_the_driver(spark, monkeypatch):
+    context = spark.sparkContext
+    monkeypatch.setattr(context, "_plumbline_scratch", None, raising=False)
+    monkeypatch.setattr(context, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(spark)
