@@ -21,16 +21,24 @@ LEAST_LANGUAGE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of being toxic is under the threshold, by the classifier chain."""
+    """Documents whose probability of being toxic is under the threshold, by the classifier chain.
+
+    Null and empty texts are scored as empty ones; repeated rows and null ids are judged like others;
+    columns may have any names; an empty table gives an empty one.
+    """
     scored = score(docs, fit_chain(docs, table(spark, sf_dir, "labels")), docs.columns)
-    return scored.where(F.col("p_toxic") < F.lit(THRESHOLD)).select(*docs.columns)
+    return scored.where(F.col("p_toxic") < F.lit(THRESHOLD)).select("kept.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the known languages, by the byte convolutional network."""
+    """Documents in one of the known languages, by the byte convolutional network.
+
+    Texts that are null or have no letter go; repeated rows and null ids are judged like others;
+    columns may have any names; an empty table gives an empty one.
+    """
     net = fit(docs.select("doc_id", "text", "lang"))
     told = identify(docs, net, docs.columns)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.lit(LEAST_LANGUAGE))).select(*docs.columns)
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= F.lit(LEAST_LANGUAGE))).select("kept.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +52,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 1024 tokens."""
+    """The pieces of all documents, packed into sequences of at most 1024 tokens.
+
+    Null and empty texts are one piece, their end id; rows of null or repeated ids are packed each;
+    further columns aren't read; an empty table gives no pieces.
+    """
     return pack(docs)
 
 
