@@ -172,5 +172,6 @@ def test_scratch_needs_a_shared_folder_off_the_driver(spark, monkeypatch):
     context = spark.sparkContext
     monkeypatch.setattr(context, "_plumbline_scratch", None, raising=False)
     monkeypatch.setattr(context, "master", "spark://host:7077")
+    monkeypatch.setattr(context, "getConf", dict)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(spark)
