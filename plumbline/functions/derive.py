@@ -104,18 +104,6 @@ def interval_text(low: Column, high: Column) -> Column:
     return F.format_string("[%+.2f, %+.2f]", low, high)
 
 
-def tertile(value: str, tie: str) -> Column:
-    """low, mid or high by rank among the non-null values (ties by `tie`); null if under three.
-
-    It follows the quantile cut of first ranks: with r from 1, low while r - 1 is under a third of n - 1.
-    The window takes the whole frame: use it on target tables.
-    """
-    w = Window.partitionBy(F.col(value).isNull())
-    r = F.row_number().over(w.orderBy(value, tie)) - 1
-    n = F.count(value).over(w)
-    return F.when(F.col(value).isNull() | (n < 3), None).when(3 * r < n - 1, "low").when(3 * r < 2 * (n - 1), "mid").otherwise("high")
-
-
 def near_chain_gap(order: str, *by: str) -> Column:
     """Whether a jump of res_id lies beside the row, in the structure's order within a chain."""
     w = Window.partitionBy(*by).orderBy(order)

@@ -7,10 +7,15 @@ Draws are digests of (seed, replicate, draw): the same on every engine and in ev
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.calibration import bin_stats, metrics
+from plumbline.functions.derive import bin_index, clip, confidence, interval_text
+from plumbline.operators.calibration import metrics
+from plumbline.operators.ranks import average_ranks, covariate_scan
+from plumbline.scratch import numbered, stored
 
 
 def digest_int(*parts: Column) -> Column:
@@ -18,10 +23,18 @@ def digest_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def slabs(df: DataFrame, by: list[str], n_bins: int = 20) -> DataFrame:
+    """candidate, by, bin, c, sc, sa, sp of all rows, stored: one pass over df. bin is null where plddt
+    or lddt is; such rows make their target known, but don't count."""
+    whole = F.col("plddt").isNotNull() & F.col("lddt").isNotNull()
+    rows = df.select("candidate", *by, "plddt", "lddt", F.when(whole, bin_index(confidence(F.col("plddt")), n_bins)).alias("bin"))
+    sums = (F.sum(confidence(F.col("plddt"))).alias("sc"), F.sum("lddt").alias("sa"), F.sum("plddt").alias("sp"))
+    return stored(rows.groupBy("candidate", *by, "bin").agg(F.count("*").alias("c"), *sums))
+
+
 def target_index(df: DataFrame) -> DataFrame:
     """candidate and idx: every candidate of the frame, numbered from 0 in string order."""
-    ids = df.where("candidate is not null").select("candidate").distinct()
-    return ids.select("candidate", (F.row_number().over(Window.orderBy("candidate")) - 1).alias("idx"))
+    return stored(numbered(df.where("candidate is not null").select("candidate").distinct(), ["candidate"], "idx"))
 
 
 def picks(df: DataFrame, targets: DataFrame, reps: int, seed: int = 0) -> DataFrame:
@@ -34,16 +47,17 @@ def picks(df: DataFrame, targets: DataFrame, reps: int, seed: int = 0) -> DataFr
     return draws.select("rep", idx.cast("int").alias("idx")).groupBy("rep", "idx").agg(F.count("*").alias("m"))
 
 
-def replicate_bins(df: DataFrame, picked: DataFrame, targets: DataFrame, n_bins: int = 20) -> DataFrame:
-    """rep, bin, c, sc, sa of each replicate; targets without rows in df draw zeros."""
-    slabs = bin_stats(df, ["candidate"], n_bins).join(targets, "candidate").select("idx", "bin", "c", "sc", "sa")
+def replicate_bins(stats: DataFrame, picked: DataFrame, targets: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """rep, by, bin, c, sc, sa of each replicate; targets without rows in the slabs draw zeros."""
+    by = by or []
+    own = stats.where("bin is not null").join(targets, "candidate").select("idx", *by, "bin", "c", "sc", "sa")
     w = lambda c: F.sum(F.col("m") * F.col(c)).alias(c)
-    return picked.join(slabs, "idx").groupBy("rep", "bin").agg(w("c"), w("sc"), w("sa"))
+    return picked.join(own, "idx").groupBy("rep", *by, "bin").agg(w("c"), w("sc"), w("sa"))
 
 
-def replicate_metrics(df: DataFrame, picked: DataFrame, targets: DataFrame, n_bins: int = 20) -> DataFrame:
-    """rep and the metrics of each replicate that has rows."""
-    return metrics(replicate_bins(df, picked, targets, n_bins), ["rep"], clipped=True)
+def pooled(stats: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by, bin and the sums over all targets."""
+    return stats.where("bin is not null").groupBy(*(by or []), "bin").agg(*(F.sum(c).alias(c) for c in ("c", "sc", "sa", "sp")))
 
 
 def interval(values: DataFrame, value: str, by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -55,47 +69,75 @@ def interval(values: DataFrame, value: str, by: list[str] | None = None, alpha:
 
 def bootstrap_metric(df: DataFrame, metric: str, reps: int = 2000, seed: int = 0, n_bins: int = 20, alpha: float = 0.05) -> DataFrame:
     """One row: the metric of all rows as `point`, and its interval over target replicates."""
-    targets = target_index(df)
-    values = replicate_metrics(df, picks(df, targets, reps, seed), targets, n_bins)
-    point = metrics(bin_stats(df, [], n_bins), [], clipped=True).select(F.col(metric).alias("point"))
+    stats = slabs(df, [], n_bins)
+    targets = target_index(stats)
+    values = metrics(replicate_bins(stats, picks(df, targets, reps, seed), targets), ["rep"], clipped=True)
+    point = metrics(pooled(stats), [], clipped=True).select(F.col(metric).alias("point"))
     return point.join(interval(values, metric, alpha=alpha))  # one row each
 
 
 def bootstrap_contrast(df: DataFrame, column: str, a, b, metric: str = "overconfidence", reps: int = 2000, seed: int = 0, n_bins: int = 20, alpha: float = 0.05) -> DataFrame:
-    """metric(column = a) - metric(column = b), both strata by the same draws of all targets."""
-    targets = target_index(df)
-    picked = picks(df, targets, reps, seed)
-    halves = []
-    for level, name in ((a, "va"), (b, "vb")):
-        part = df.where(F.col(column) == F.lit(level).cast(df.schema[column].dataType))
-        values = replicate_metrics(part, picked, targets, n_bins).select("rep", F.col(metric).alias(name))
-        point = metrics(bin_stats(part, [], n_bins), [], clipped=True).select(F.col(metric).alias(name))
-        halves.append((values, point))
-    diff = halves[0][0].join(halves[1][0], "rep").withColumn("d", F.col("va") - F.col("vb"))
-    point = halves[0][1].join(halves[1][1]).select((F.col("va") - F.col("vb")).alias("point"))  # one row each
-    found = point.join(interval(diff, "d", alpha=alpha))
+    """metric(column = a) - metric(column = b), both strata by the same draws of all targets.
+
+    One pass over df; a level without rows gives nulls.
+    """
+    level = lambda v: F.lit(v).cast(df.schema[column].dataType)
+    stats = slabs(df.withColumn("__level", F.when(F.col(column).isin(level(a), level(b)), F.col(column))), ["__level"], n_bins)
+    targets = target_index(stats)
+    stats = stats.where("__level is not null")
+    of = lambda v: F.max(F.when(F.col("__level") == level(v), F.col(metric)))
+    values = metrics(replicate_bins(stats, picks(df, targets, reps, seed), targets, ["__level"]), ["rep", "__level"], clipped=True)
+    values = values.groupBy("rep").agg((of(a) - of(b)).alias("d"))
+    point = metrics(pooled(stats, ["__level"]), ["__level"], clipped=True).agg((of(a) - of(b)).alias("point"))
+    found = point.join(interval(values, "d", alpha=alpha))  # one row each
     return found.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def curve_intervals(df: DataFrame, reps: int = 2000, seed: int = 0, n_bins: int = 20, alpha: float = 0.05) -> DataFrame:
     """bin, gap_lo, gap_hi over the replicates in which the bin isn't empty."""
-    targets = target_index(df)
-    gaps = replicate_bins(df, picks(df, targets, reps, seed), targets, n_bins)
+    return _curve_intervals(slabs(df, [], n_bins), reps, seed, alpha)
+
+
+def _curve_intervals(stats: DataFrame, reps: int, seed: int, alpha: float) -> DataFrame:
+    targets = target_index(stats)
+    gaps = replicate_bins(stats, picks(stats, targets, reps, seed), targets)
     gaps = gaps.withColumn("gap", F.try_divide(F.col("sc") - F.col("sa"), F.col("c")))
     return interval(gaps, "gap", ["bin"], alpha).select("bin", F.col("lo").alias("gap_lo"), F.col("hi").alias("gap_hi"))
 
 
+def classified_curve(df: DataFrame, reps: int = 2000, seed: int = 0, n_bins: int = 20, min_count: int = 100, alpha: float = 0.05) -> DataFrame:
+    """The reliability curve with its intervals, in percentage points, each bin classified.
+
+    bin, bin_lo, bin_hi, n, share, mean_plddt, mean_lddt, gap_pp, gap_lo, gap_hi, flag ('sparse' under
+    min_count rows, else empty), ci (as text), verdict: 'overconfident' or 'underconfident' if the
+    interval of a bin that isn't sparse lies above or below 0, else null.
+    """
+    stats = slabs(df, [], n_bins)
+    rows = pooled(stats).join(_curve_intervals(stats, reps, seed, alpha), "bin", "left")
+    rows = rows.join(F.broadcast(pooled(stats).agg(F.sum("c").alias("total"))))  # one row
+    pp = lambda c: F.lit(100.0) * c
+    rows = rows.select(
+        "bin", (F.col("bin") * F.lit(100.0) / n_bins).alias("bin_lo"), ((F.col("bin") + 1) * F.lit(100.0) / n_bins).alias("bin_hi"), F.col("c").alias("n"), (F.col("c") / F.col("total")).alias("share"), pp(F.col("sc") / F.col("c")).alias("mean_plddt"),
+        (F.col("sa") / F.col("c")).alias("mean_lddt"), pp((F.col("sc") - F.col("sa")) / F.col("c")).alias("gap_pp"), pp(F.col("gap_lo")).alias("gap_lo"), pp(F.col("gap_hi")).alias("gap_hi"),
+    )
+    dense = F.col("n") >= min_count
+    rows = rows.withColumn("flag", F.when(dense, "").otherwise("sparse")).withColumn("ci", interval_text(F.col("gap_lo"), F.col("gap_hi")))
+    return rows.withColumn("verdict", F.when(dense & (F.col("gap_lo") > 0), "overconfident").when(dense & (F.col("gap_hi") < 0), "underconfident"))
+
+
 def threshold_table(df: DataFrame, thresholds: list[float], reps: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """For each threshold: the residues of at least that plddt, their share of all, means, and the
-    overconfidence with its interval over target replicates (all targets are drawn)."""
-    targets = target_index(df)
-    rows = df.where("plddt is not null and lddt is not null")
-    total = rows.agg(F.count("*").alias("total"))
-    kept = rows.select("candidate", "plddt", "lddt", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))).alias("threshold")).where("plddt >= threshold")
-    conf = F.least(F.greatest(F.col("plddt") / 100.0, F.lit(0.0)), F.lit(1.0))
-    slabs = kept.groupBy("threshold", "candidate").agg(F.count("*").alias("c"), F.sum(conf).alias("sc"), F.sum("lddt").alias("sa"), F.sum("plddt").alias("sp"))
-    point = slabs.groupBy("threshold").agg(F.sum("c").alias("residues_kept"), (F.sum("sp") / F.sum("c")).alias("mean_plddt"), (F.sum("sa") / F.sum("c")).alias("mean_lddt"), ((F.sum("sc") - F.sum("sa")) / F.sum("c")).alias("gap"))
-    drawn = picks(df, targets, reps, seed).join(slabs.join(targets, "candidate").drop("candidate"), "idx")
+    overconfidence with its interval over target replicates (all targets are drawn). One pass over df."""
+    whole = F.col("plddt").isNotNull() & F.col("lddt").isNotNull()
+    passed = F.filter(F.array(F.lit(-1), *(F.lit(k) for k in range(len(thresholds)))), lambda k: (k < 0) | (F.col("plddt") >= F.get(F.array(*(F.lit(float(t)) for t in thresholds)), k)))
+    rows = df.select("candidate", "plddt", "lddt", F.explode(F.when(whole, passed).otherwise(F.array(F.lit(None).cast("int")))).alias("k"))
+    conf = clip(F.col("plddt") / F.lit(100.0), 0.0, 1.0)
+    stats = stored(rows.groupBy("candidate", "k").agg(F.count("*").alias("c"), F.sum(conf).alias("sc"), F.sum("lddt").alias("sa"), F.sum("plddt").alias("sp")))
+    targets = target_index(stats)
+    kept = stats.where("k >= 0").withColumn("threshold", F.get(F.array(*(F.lit(float(t)) for t in thresholds)), F.col("k")))
+    total = stats.where("k = -1").agg(F.sum("c").alias("total"))
+    point = kept.groupBy("threshold").agg(F.sum("c").alias("residues_kept"), (F.sum("sp") / F.sum("c")).alias("mean_plddt"), (F.sum("sa") / F.sum("c")).alias("mean_lddt"), ((F.sum("sc") - F.sum("sa")) / F.sum("c")).alias("gap"))
+    drawn = picks(df, targets, reps, seed).join(kept.join(targets, "candidate").drop("candidate"), "idx")
     values = drawn.groupBy("threshold", "rep").agg(F.try_divide(F.sum(F.col("m") * (F.col("sc") - F.col("sa"))), F.sum(F.col("m") * F.col("c"))).alias("gap"))
     ci = interval(values, "gap", ["threshold"], alpha).select("threshold", F.col("lo").alias("gap_lo"), F.col("hi").alias("gap_hi"))
     found = point.join(ci, "threshold").join(F.broadcast(total))  # total is one row
@@ -103,19 +145,29 @@ def threshold_table(df: DataFrame, thresholds: list[float], reps: int = 500, see
 
 
 def permutation_p(table: DataFrame, key: str, value: str, flag: str, perms: int = 5000, seed: int = 0) -> DataFrame:
-    """Two-sided p of the AUC of `value` for `flag`, by relabelling; null under 5 rows.
+    """One row: n, k, hits and the two-sided p_perm of the AUC of `value` for `flag`, by relabelling.
 
-    Ranks are taken once; a permutation flags the rows of smallest digests. (hits + 1) / (perms + 1).
+    Ranks are taken once; a permutation flags the k rows of smallest digests (ties by key). p is
+    (hits + 1) / (perms + 1). Rows of null value don't count, a null flag is no. Under 5 rows, or with no
+    flagged or no other row, hits and p are null.
     """
-    rows = table.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).alias("v"), F.col(flag).alias("f"))
-    w = Window.orderBy("v")
-    rows = rows.withColumn("r", F.rank().over(w) + (F.count("*").over(Window.partitionBy("v")) - 1) / 2.0)
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.col("f").cast("long")).alias("k"), F.sum(F.when(F.col("f"), F.col("r"))).alias("rk"))
+    rows = table.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"), F.coalesce(flag, F.lit(False)).alias("f"))
+    rows = stored(average_ranks(rows, "v", "r").select("key", "f", "r"))
+    n, k, own = rows.agg(F.count("*"), F.count_if("f"), F.sum(F.when(F.col("f"), F.col("r")))).first()
+    if n < 5 or not 0 < k < n:
+        return table.sparkSession.createDataFrame([(n, k, None, None)], "n long, k long, hits long, p_perm double")
     draws = rows.select("key", "r", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))).alias("perm"))
+    # a bound on the rank, so that each task keeps the smallest k of its rows before the shuffle
     place = F.row_number().over(Window.partitionBy("perm").orderBy(digest_int(F.lit(seed), F.col("perm"), F.col("key")), "key"))
-    draws = draws.withColumn("place", place).join(F.broadcast(size)).where(F.col("place") <= F.col("k"))  # size is one row
-    auc = lambda s: (s - F.col("k") * (F.col("k") + 1) / 2.0) / (F.col("k") * (F.col("n") - F.col("k")))
-    sums = draws.groupBy("perm", "n", "k", "rk").agg(F.sum("r").alias("s"))
-    hit = (F.abs(auc(F.col("s")) - 0.5) >= F.abs(auc(F.col("rk")) - 0.5) - 1e-12).cast("long")
-    found = sums.where("n >= 5 and k < n").groupBy("n", "k").agg(F.sum(hit).alias("hits"))
-    return found.select("n", "k", "hits", ((F.col("hits") + 1) / F.lit(perms + 1.0)).alias("p_perm"))
+    draws = draws.withColumn("place", place).where(F.col("place") <= k)
+    auc = lambda s: (s - k * (k + 1) / 2.0) / (k * (n - k))
+    sums = draws.groupBy("perm").agg(F.sum("r").alias("s"))
+    hits = F.count_if(F.abs(auc(F.col("s")) - 0.5) >= abs(auc(own) - 0.5) - 1e-12)
+    return sums.agg(F.lit(n).cast("long").alias("n"), F.lit(k).cast("long").alias("k"), hits.alias("hits"), ((hits + 1) / F.lit(perms + 1.0)).alias("p_perm"))
+
+
+def scan_with_p(table: DataFrame, key: str, covariates: list[str], flag: str, perms: int = 5000, seed: int = 0) -> DataFrame:
+    """covariate_scan() with p_perm beside each covariate, the largest effect first."""
+    parts = [permutation_p(table, key, c, flag, perms, seed).select(F.lit(c).alias("covariate"), "p_perm") for c in covariates]
+    found = covariate_scan(table, covariates, flag)
+    return found.join(functools.reduce(DataFrame.unionByName, parts), "covariate", "left").orderBy(F.desc("effect"), "covariate")

@@ -17,7 +17,8 @@ from plumbline.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-REPS, PERMS = 200, 200
+#: Replicates of bootstraps and of threshold intervals, and permutations.
+REPS, THRESHOLD_REPS, PERMS = 2000, 500, 5000
 THRESHOLDS = [50.0, 60.0, 70.0, 80.0, 85.0, 90.0, 95.0]
 
 
@@ -48,7 +49,7 @@ def calib_summary(spark, sf_dir):
 
 def _by(name: str, *columns: str) -> None:
     keys = ", ".join(columns)
-    query(with_residues(f"SELECT {keys}, {METRICS} FROM b GROUP BY {keys} HAVING sum(c) >= 50", bins(keys)), name)(lambda spark, sf_dir: cal.stratified_summary(dataset(spark, sf_dir), list(columns)))
+    query(with_residues(f"SELECT {keys}, {METRICS} FROM b GROUP BY {keys} HAVING sum(c) >= 50", bins(keys)), name)(lambda spark, sf_dir: cal.stratified_summary(dataset(spark, sf_dir, tertiles=any(c.endswith("_bin") for c in columns)), list(columns)))
 
 
 _by("calib_by_flexibility", "flexibility")
@@ -134,7 +135,7 @@ def residue_runs(spark, sf_dir):
 
 @query(with_residues("SELECT DISTINCT candidate, max_identity, novelty_bin, msa_depth_bin FROM d"))
 def tertiles(spark, sf_dir):
-    return dataset(spark, sf_dir).select("candidate", "max_identity", "novelty_bin", "msa_depth_bin").distinct()
+    return dataset(spark, sf_dir, tertiles=True).select("candidate", "max_identity", "novelty_bin", "msa_depth_bin").distinct()
 
 
 @query(with_residues("SELECT DISTINCT ligand_state, structured, exposure FROM d"))
@@ -256,10 +257,10 @@ _T = ", tt AS (SELECT unnest([" + ", ".join(map(sql.number, THRESHOLDS)) + "]) A
 
 @query(with_residues(
     f"SELECT threshold, residues_kept, {rd('residues_kept / total', 'share_kept')}, mean_plddt, mean_lddt, gap, gap_lo, gap_hi FROM (SELECT threshold, CAST(sum(c) AS BIGINT) AS residues_kept, {rd('sum(sp) / sum(c)', 'mean_plddt')}, {rd('sum(sa) / sum(c)', 'mean_lddt')}, {rd('(sum(sc) - sum(sa)) / sum(c)', 'gap')} FROM s GROUP BY 1) JOIN (SELECT threshold, {rd('quantile_cont(v, 0.025)', 'gap_lo')}, {rd('quantile_cont(v, 0.975)', 'gap_hi')} FROM (SELECT threshold, rep, sum(m * (sc - sa)) / sum(m * c) AS v FROM p JOIN ids USING (idx) JOIN s USING (candidate) GROUP BY 1, 2) GROUP BY 1) USING (threshold), (SELECT count(*) AS total FROM d)",
-    draws(REPS) + _T,
+    draws(THRESHOLD_REPS) + _T,
 ))
 def threshold_table(spark, sf_dir):
-    return resample.threshold_table(residues(spark, sf_dir), THRESHOLDS, REPS)
+    return resample.threshold_table(residues(spark, sf_dir), THRESHOLDS, THRESHOLD_REPS)
 
 
 # Ranks
@@ -300,24 +301,14 @@ def spearman(spark, sf_dir):
 _SIGNALS = ", s AS (SELECT candidate, chain, res_id, ref_bfactor, plddt, lddt, (" + _RANK.format("plddt") + ") / count(*) OVER () + (" + _RANK.format("ref_bfactor") + ") / count(*) OVER () AS combined, quantile_cont(lddt, 0.1) OVER () AS cut FROM r)"
 
 
-def _combined(spark, sf_dir):
-    rows = ranks.percent_rank(ranks.percent_rank(residues(spark, sf_dir), "plddt", "a"), "ref_bfactor", "b")
-    return rows.withColumn("combined", F.col("a") + F.col("b"))
-
-
 @query(with_residues(f"SELECT candidate, chain, res_id, ref_bfactor, {rd('combined', 'combined')} FROM s", _SIGNALS))
 def rank_average(spark, sf_dir):
-    return _combined(spark, sf_dir).select("candidate", "chain", "res_id", "ref_bfactor", "combined")
+    return ranks.rank_average(residues(spark, sf_dir), ["plddt", "ref_bfactor"], "combined").select("candidate", "chain", "res_id", "ref_bfactor", "combined")
 
 
 @query(with_residues(" UNION ALL ".join(f"SELECT '{c}' AS signal, auc, rho FROM ({_auc(f'-{c}', 'lddt <= cut', 's')}), (SELECT {rd('corr(a, b)', 'rho')} FROM (SELECT {_RANK.format(c)} AS a, {_RANK.format('lddt')} AS b FROM s))" for c in ("plddt", "ref_bfactor", "combined")), _SIGNALS))
 def signal_compare(spark, sf_dir):
-    rows = ranks.worst_quantile(_combined(spark, sf_dir), "lddt", 0.1, "bad")
-    parts = None
-    for c in ("plddt", "ref_bfactor", "combined"):
-        one = ranks.auc(rows, c, "bad", low_flags=True).select("auc").join(ranks.spearman(rows, c, "lddt").select("rho")).withColumn("signal", F.lit(c))  # one row each
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    return ranks.signal_comparison(residues(spark, sf_dir), ["plddt", "ref_bfactor"], "lddt", 0.1)
 
 
 @query(with_residues("SELECT candidate, CAST(count(*) FILTER (lddt <= cut) AS BIGINT) AS n_bad, count(*) AS n FROM (SELECT candidate, lddt, quantile_cont(lddt, 0.1) OVER () AS cut FROM r) GROUP BY 1"))
@@ -360,9 +351,9 @@ def covariate_scan(spark, sf_dir):
 
 @query(with_residues(f"SELECT covariate, {rd('0.05 / count(*) OVER ()', 'bonferroni')}, CASE WHEN auc > 0.5 THEN 'higher' ELSE 'lower' END AS direction, CAST(rank() OVER (ORDER BY round(abs(auc - 0.5), 9) DESC) AS BIGINT) AS place FROM g", bins("candidate") + _PER + _SCAN))
 def bonferroni(spark, sf_dir):
-    n = F.count("*").over(Window.partitionBy())
-    place = F.rank().over(Window.orderBy(F.desc(F.round("effect", 9)))).cast("long")
-    return _scan(spark, sf_dir).select("covariate", (F.lit(0.05) / n).alias("bonferroni"), F.when(F.col("auc_tail_higher") > 0.5, "higher").otherwise("lower").alias("direction"), place.alias("place"))
+    found = ranks.significant(_scan(spark, sf_dir).withColumn("p_perm", F.lit(None).cast("double")))
+    place = F.rank().over(Window.orderBy(F.desc(F.round("effect", 9)))).cast("long")  # a row for each covariate
+    return found.select("covariate", "bonferroni", "direction", place.alias("place"))
 
 
 @query(with_residues(
@@ -370,7 +361,8 @@ def bonferroni(spark, sf_dir):
     bins("candidate") + _PER + ", pr0 AS (SELECT candidate, tail, rank() OVER (ORDER BY max_identity) + (count(*) OVER (PARTITION BY max_identity) - 1) / 2.0 AS r FROM ft), pr AS (SELECT *, count(*) OVER () AS n, CAST(count(*) FILTER (tail) OVER () AS BIGINT) AS k, sum(r) FILTER (tail) OVER () AS rk FROM pr0)",
 ))
 def permutation_p(spark, sf_dir):
-    return resample.permutation_p(_tail_table(spark, sf_dir), "candidate", "max_identity", "tail", PERMS)
+    """A row if the test can be made."""
+    return resample.permutation_p(_tail_table(spark, sf_dir), "candidate", "max_identity", "tail", PERMS).where("p_perm is not null")
 
 
 @query(with_residues(f"SELECT {rd('corr(lddt - s * plddt - i, ref_bfactor)', 'corr_residual')}, count(*) AS n FROM r, (SELECT regr_slope(lddt, plddt) AS s, regr_intercept(lddt, plddt) AS i FROM r)"))

@@ -55,12 +55,16 @@ def test_average_ranks_and_auc(spark):
     assert ranks.auc(small.where("t"), "v", "t").first().auc is None
     p = resample.permutation_p(spark.createDataFrame([(str(i), float(i), i > 15) for i in range(20)], "k string, v double, t boolean"), "k", "v", "t", 99).first()
     assert 1 / 100 <= p.p_perm < 0.05
+    few = spark.createDataFrame([("a", 1.0, True), ("b", 2.0, False), ("c", 3.0, None)], "k string, v double, t boolean")
+    assert tuple(resample.permutation_p(few, "k", "v", "t", 9).first()) == (3, 1, None, None)
+    none = spark.createDataFrame([(str(i), float(i), False) for i in range(9)], "k string, v double, t boolean")
+    assert tuple(resample.permutation_p(none, "k", "v", "t", 9).first()) == (9, 0, None, None)
 
 
 @pytest.mark.parametrize("n,sizes", [(2, {}), (4, {"low": 1, "mid": 1, "high": 2}), (5, {"low": 2, "mid": 1, "high": 2}), (7, {"low": 2, "mid": 2, "high": 3})])
 def test_tertiles(spark, n, sizes):
     df = spark.createDataFrame([(f"t{i}", float(i)) for i in range(n)] + [("x", None)], "candidate string, v double")
-    got = df.withColumn("b", derive.tertile("v", "candidate")).groupBy("b").count().collect()
+    got = ranks.tertile(df, "v", "candidate", "b").groupBy("b").count().collect()
     assert {r.b: r["count"] for r in got if r.b} == sizes
 
 
@@ -79,8 +83,10 @@ def test_strata(spark):
 def test_build_dataset_keeps_rows_and_drops_low_coverage(spark):
     scores = spark.createDataFrame([("a", 90.0, 0.9, 0.9), ("a", 80.0, 0.8, 0.9), ("b", 70.0, 0.5, 0.5)], "candidate string, plddt double, lddt double, coverage double")
     cov = spark.createDataFrame([("a", 1), ("a", 2)], "candidate string, nonpolymer_entity_count int")
-    got = build_dataset(scores, cov).collect()
-    assert [(r.candidate, r.ligand_state) for r in got] == [("a", "holo")] * 2
+    assert [(r.candidate, r.ligand_state) for r in build_dataset(scores, cov).collect()] == [("a", "holo")] * 4
+    got = build_dataset(scores, cov, one_row=True).collect()
+    assert [(r.candidate, r.nonpolymer_entity_count) for r in got] == [("a", 1)] * 2
+    assert [r.ligand_state for r in build_dataset(scores, cov.limit(0)).collect()] == ["apo"] * 2
 
 
 def test_neff_and_alignment(spark):
