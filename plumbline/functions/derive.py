@@ -90,6 +90,11 @@ def candidate_parts(candidate: Column) -> tuple[Column, Column]:
     return F.when(F.size(parts) == 2, F.get(parts, 0)).otherwise(bad), F.when(F.size(parts) == 2, F.get(parts, 1)).otherwise(bad)
 
 
+def entry_id(candidate: Column, entry: Column) -> Column:
+    """The candidate up to its first `_`; without a candidate, the entry."""
+    return first_text(F.get(F.split(candidate, "_"), F.lit(0)), entry)
+
+
 def first_text(*values: Column) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*(F.nullif(v, F.lit("")) for v in values))

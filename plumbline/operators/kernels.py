@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.derive import one_letter
+
 #: Published definition of lDDT: inclusion radius and distance thresholds, in angstroms.
 RADIUS, THRESHOLDS = 15.0, (0.5, 1.0, 2.0, 4.0)
 BLOCK = 256
@@ -26,28 +28,88 @@ def _weight(seqs: list[str], length: int, seqid: float) -> float:
     return weight
 
 
+def _lengths(msa: DataFrame) -> DataFrame:
+    """msa's rows of the candidate's first length, with length and total, the number of such rows."""
+    rows = msa.where("sequence <> ''").select("candidate", "row", "sequence")
+    sizes = rows.groupBy("candidate", F.length("sequence").alias("length")).agg(F.count("*").alias("c"), F.min("row").alias("r"))
+    first = sizes.groupBy("candidate").agg(F.min_by("length", "r").alias("length"), F.min_by("c", "r").alias("total"))
+    return rows.join(first, "candidate").where(F.length("sequence") == F.col("length"))
+
+
+_DEPTH = "candidate string, n_sequences int, neff double, neff_per_col double, length int, neff_estimated boolean"
+
+
 def neff(msa: DataFrame, seqid: float = 0.62, max_seqs: int = 5000, seed: int = 0) -> DataFrame:
     """MSA depth by candidate from aligned sequences (columns candidate, row, sequence).
 
     A sequence weighs 1 / (sequences with at least seqid of its columns equal, itself among them).
     Rows of another length than the candidate's first don't count; empty ones are dropped. Of more
     than max_seqs sequences, those of smallest seeded digest are compared and the sum scaled up, as
-    the definition has it; that limit is taken before the shuffle, so a task never holds more.
+    the definition has it (neff_exact() compares all). Digests are uniform, so a bound that twice
+    max_seqs of them keep is put on them before the shuffle, and a task streams over its candidates
+    with max_seqs sequences in memory.
     """
-    rows = msa.where("sequence <> ''").select("candidate", "row", "sequence")
-    first = rows.groupBy("candidate").agg(F.min_by(F.length("sequence"), "row").alias("length"))
-    rows = rows.join(first, "candidate").where(F.length("sequence") == F.col("length"))
-    sizes = rows.groupBy("candidate").agg(F.count("*").alias("total"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("row").cast("string")).cast("binary"))
-    place = F.row_number().over(Window.partitionBy("candidate").orderBy(digest, "row"))
-    kept = rows.withColumn("place", place).where(F.col("place") <= max_seqs).drop("place").join(sizes, "candidate")
+    rows = _lengths(msa).withColumn("digest", digest)
+    share = F.lit(2.0 * max_seqs) / F.col("total")
+    bound = F.lower(F.lpad(F.hex((F.lit(float(1 << 32)) * share).cast("long")), 8, "0"))
+    rows = rows.where((F.col("total") <= 2 * max_seqs) | (F.substring("digest", 1, 8) < bound))
+    rows = rows.repartition("candidate").sortWithinPartitions("candidate", "digest", "row").select("candidate", "sequence", "length", "total")
 
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, length = int(pdf.total.iloc[0]), int(pdf.length.iloc[0])
-        value = _weight(pdf.sequence.tolist(), length, seqid) * total / len(pdf)
-        return pd.DataFrame([(pdf.candidate.iloc[0], total, round(value, 3), round(value / length, 4), length, total > len(pdf))], columns=["candidate", "n_sequences", "neff", "neff_per_col", "length", "neff_estimated"])
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[str, int, int, list[str]]] = []
+
+        def depth(name: str, length: int, total: int, seqs: list[str]) -> tuple:
+            value = _weight(seqs, length, seqid) * total / len(seqs)
+            return name, total, round(value, 3), round(value / length, 4), length, total > len(seqs)
+
+        for pdf in batches:
+            names, seqs = pdf.candidate.to_numpy(), pdf.sequence.tolist()
+            starts = np.flatnonzero(np.concatenate(([True], names[1:] != names[:-1]))) if len(names) else np.zeros(0, int)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(names)], strict=True):
+                if not held or held[-1][0] != names[s]:
+                    held.append((names[s], int(pdf.length.iloc[s]), int(pdf.total.iloc[s]), []))
+                room = max_seqs - len(held[-1][3])
+                held[-1][3].extend(seqs[s : min(e, s + room)])
+            if len(held) > 1:
+                yield pd.DataFrame([depth(*h) for h in held[:-1]], columns=_DEPTH_NAMES)
+                held = held[-1:]
+        if held:
+            yield pd.DataFrame([depth(*h) for h in held], columns=_DEPTH_NAMES)
 
-    return kept.groupBy("candidate").applyInPandas(step, "candidate string, n_sequences int, neff double, neff_per_col double, length int, neff_estimated boolean")
+    return rows.mapInPandas(step, _DEPTH)
+
+
+_DEPTH_NAMES = [c.split()[0] for c in _DEPTH.split(", ")]
+
+
+def neff_exact(msa: DataFrame, seqid: float = 0.62, block: int = 2000) -> DataFrame:
+    """neff() over all sequences, however many: blocks of about `block` of them meet in pairs.
+
+    `row` must tell a candidate's sequences apart. A task holds two blocks; the work is quadratic in
+    a candidate's sequences, as the definition is.
+    """
+    rows = _lengths(msa).withColumn("blocks", F.ceil(F.col("total") / F.lit(block)).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("candidate", F.col("row").cast("string").alias("row"), "sequence", "length", "total", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        length, i, j = int(pdf.length.iloc[0]), int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
+        x = np.array([np.frombuffer(s.encode("latin-1", "replace"), np.uint8) for s in pdf.sequence]).reshape(len(pdf), length)
+        own = pdf.own.to_numpy()
+        near = np.zeros(len(pdf), np.int64)
+        for mine, theirs in ((i, j), (j, i)) if i != j else ((i, i),):
+            at, to = np.flatnonzero(own == mine), np.flatnonzero(own == theirs)
+            for a in range(0, len(at), BLOCK):
+                for b in range(0, len(to), BLOCK):
+                    near[at[a : a + BLOCK]] += ((x[at[a : a + BLOCK], None, :] == x[None, to[b : b + BLOCK], :]).sum(axis=2) >= seqid * length).sum(axis=1)
+        return pd.DataFrame({"candidate": pdf.candidate, "row": pdf.row, "length": pdf.length, "total": pdf.total, "near": near})
+
+    near = rows.groupBy("candidate", "i", "j").applyInPandas(step, "candidate string, row string, length int, total int, near long")
+    near = near.groupBy("candidate", "row", "length", "total").agg(F.sum("near").alias("near"))
+    value = F.sum(F.lit(1.0) / F.col("near"))
+    return near.groupBy("candidate", F.col("total").alias("n_sequences"), "length").agg(F.bround(value, 3).alias("neff"), F.bround(value / F.first("length"), 4).alias("neff_per_col")).select("candidate", "n_sequences", "neff", "neff_per_col", "length", F.lit(False).alias("neff_estimated"))
 
 
 def lddt(reference: DataFrame, subject: DataFrame, radius: float = RADIUS, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -55,21 +117,24 @@ def lddt(reference: DataFrame, subject: DataFrame, radius: float = RADIUS, thres
 
     Both frames: structure, atom, x, y, z. For each atom, the other atoms of its structure within
     the radius in the reference count; a distance is kept at a threshold if it differs by less.
-    A self join on cells of the radius' size, so only neighbouring cells meet.
+    A self join on cells of the radius' size, so only neighbouring cells meet. With a column
+    `residue` in the reference, atoms of the same residue don't count and the result is by residue:
+    structure, residue, lddt.
     """
-    r = reference.select("structure", "atom", F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"))
+    own = [c for c in ("residue",) if c in reference.columns]
+    r = reference.select("structure", "atom", *own, F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("z").alias("z0"))
     both = r.join(subject.select("structure", "atom", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("z").alias("z1")), ["structure", "atom"])
     cell = [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in ("x0", "y0", "z0")]
     both = both.withColumns(dict(zip(("cx", "cy", "cz"), cell, strict=True)))
     around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
-    names = ("atom", "x0", "y0", "z0", "x1", "y1", "z1")
+    names = ("atom", *own, "x0", "y0", "z0", "x1", "y1", "z1")
     left = both.select("structure", *names, around.alias("c")).select("structure", *names, "c.*")
     right = both.select("structure", "cx", "cy", "cz", *(F.col(n).alias(f"{n}_b") for n in names))
-    pairs = left.join(right, ["structure", "cx", "cy", "cz"]).where("atom <> atom_b")
+    pairs = left.join(right, ["structure", "cx", "cy", "cz"]).where("residue <> residue_b" if own else "atom <> atom_b")
     distance = lambda k: F.sqrt(sum((F.pow(F.col(f"{c}{k}") - F.col(f"{c}{k}_b"), 2) for c in "xyz"), F.lit(0.0)))
     pairs = pairs.withColumn("d0", distance(0)).where(F.col("d0") < radius).withColumn("diff", F.abs(F.col("d0") - distance(1)))
     kept = sum(((F.col("diff") < t).cast("double") for t in thresholds), F.lit(0.0)) / len(thresholds)
-    return pairs.groupBy("structure", "atom").agg(F.avg(kept).alias("lddt"))
+    return pairs.groupBy("structure", *(own or ["atom"])).agg(F.avg(kept).alias("lddt"))
 
 
 def ensemble_agreement(models: DataFrame, radius: float = RADIUS, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -91,60 +156,111 @@ def ensemble_agreement(models: DataFrame, radius: float = RADIUS, thresholds: tu
     return found.join(good, "structure")
 
 
-def match_atoms(aligned: DataFrame, reference: DataFrame, subject: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Atoms of equal name in aligned residues, and the coverage of the reference.
+def chain_sequences(atoms: DataFrame) -> DataFrame:
+    """structure, chain, place (its first atom), sequence (one-letter codes) and residues (res_id) of each
+    chain. atoms: structure, atom (the order), chain, res_id, res_name."""
+    residues = atoms.groupBy("structure", "chain", "res_id").agg(F.min("atom").alias("at"), F.min_by("res_name", "atom").alias("res_name"))
+    rows = residues.groupBy("structure", "chain").agg(F.min("at").alias("place"), F.sort_array(F.collect_list(F.struct("at", one_letter(F.col("res_name")).alias("code"), "res_id"))).alias("rs"))
+    return rows.select("structure", "chain", "place", F.array_join(F.col("rs.code"), "").alias("sequence"), F.col("rs.res_id").alias("residues"))
 
-    aligned: ref_res, sub_res; the others: res_id, atom_name, x, y, z. Of repeated names in a
-    residue the last (largest atom) counts.
-    """
-    last = lambda d: d.groupBy("res_id", "atom_name").agg(F.max_by(F.struct("x", "y", "z"), "atom").alias("at"))
-    r = last(reference).select(F.col("res_id").alias("ref_res"), "atom_name", F.col("at").alias("ref_at"))
-    s = last(subject).select(F.col("res_id").alias("sub_res"), "atom_name", F.col("at").alias("sub_at"))
-    matched = aligned.join(r, "ref_res").join(s, ["sub_res", "atom_name"])
-    total = reference.agg(F.count_distinct("res_id").alias("n_ref"))
-    coverage = matched.agg(F.count_distinct("ref_res").alias("n_matched")).join(total).select("n_matched", "n_ref", F.try_divide("n_matched", "n_ref").alias("coverage"))  # one row each
-    return matched, coverage
 
+def best_chains(reference: DataFrame, subject: DataFrame, scores: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """structure, chain, sub_chain, score, ref_res, sub_res: the aligned residues of each reference chain
+    with the subject chain that aligns best (of equal scores the first; a chain may serve again)."""
+    r, s = chain_sequences(reference), chain_sequences(subject)
+    pairs = r.select("structure", "chain", F.col("sequence").alias("ref"), F.col("residues").alias("ref_residues"))
+    pairs = pairs.join(s.select("structure", F.col("chain").alias("sub_chain"), F.col("place").alias("sub_place"), F.col("sequence").alias("sub"), F.col("residues").alias("sub_residues")), "structure")
+    done = align_global(pairs, ["structure", "chain", "sub_chain", "sub_place", "ref_residues", "sub_residues"], scores)
+    best = done.groupBy("structure", "chain").agg(F.max_by(F.struct("sub_chain", "score", "aligned", "ref_residues", "sub_residues"), F.struct("score", -F.col("sub_place"))).alias("b"))
+    best = best.select("structure", "chain", "b.sub_chain", "b.score", "b.ref_residues", "b.sub_residues", F.explode("b.aligned").alias("p"))
+    return best.select("structure", "chain", "sub_chain", "score", F.get("ref_residues", F.col("p.r")).alias("ref_res"), F.get("sub_residues", F.col("p.s")).alias("sub_res"))
 
-def align_pair(a: str, b: str, scores: dict[tuple[str, str], float], gap_open: float = -10.0, gap_extend: float = -1.0) -> tuple[float, list[tuple[int, int]]]:
-    """Global alignment with affine gaps, free at the ends: its score and the aligned positions.
 
-    A gap of k costs gap_open + (k - 1) * gap_extend. Of equal predecessors a match is taken, then a
-    gap in b.
+def match_atoms(aligned: DataFrame, reference: DataFrame, subject: DataFrame, metric: str = "ca") -> tuple[DataFrame, DataFrame]:
+    """Atoms of equal name in aligned residues, and for each structure n_matched, n_ref and coverage.
+
+    aligned: as of best_chains(); the others: structure, atom, chain, res_id, atom_name, x, y, z. metric:
+    'ca' or 'all-atom'. Of repeated names in a residue the last (largest atom) counts.
+    """
+    if metric not in ("ca", "all-atom"):
+        raise ValueError("metric must be 'ca' or 'all-atom'")
+    named = (lambda d: d.where("atom_name = 'CA'")) if metric == "ca" else (lambda d: d)
+    last = lambda d: named(d).groupBy("structure", "chain", "res_id", "atom_name").agg(F.max_by(F.struct("x", "y", "z"), "atom").alias("at"), F.max("atom").alias("atom"))
+    r = last(reference).select("structure", "chain", F.col("res_id").alias("ref_res"), "atom_name", "atom", F.col("at").alias("ref_at"))
+    s = last(subject).select("structure", F.col("chain").alias("sub_chain"), F.col("res_id").alias("sub_res"), "atom_name", F.col("at").alias("sub_at"))
+    matched = aligned.join(r, ["structure", "chain", "ref_res"]).join(s, ["structure", "sub_chain", "sub_res", "atom_name"])
+    total = reference.groupBy("structure").agg(F.count_distinct("chain", "res_id").alias("n_ref"))
+    found = matched.groupBy("structure").agg(F.count_distinct("chain", "ref_res").alias("n_matched"))
+    found = total.join(found, "structure", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+    return matched, found.select("structure", "n_matched", "n_ref", F.try_divide("n_matched", "n_ref").alias("coverage"))
+
+
+def structure_scores(reference: DataFrame, subject: DataFrame, metric: str = "ca", scores: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """structure, chain, res_id, lddt and coverage of each scored residue: chains are paired and aligned,
+    atoms matched, and distances within a residue don't count."""
+    matched, coverage = match_atoms(best_chains(reference, subject, scores), reference, subject, metric)
+    residue = F.concat_ws("|", "chain", F.col("ref_res").cast("string"))
+    at = lambda side: matched.select("structure", "atom", residue.alias("residue"), f"{side}.x", f"{side}.y", f"{side}.z")
+    found = lddt(at("ref_at"), at("sub_at").drop("residue"))
+    ids = matched.select("structure", "chain", F.col("ref_res").alias("res_id"), residue.alias("residue")).distinct()
+    return ids.join(found, ["structure", "residue"], "left").join(coverage.select("structure", "coverage"), "structure").select("structure", "chain", "res_id", "lddt", "coverage")
+
+
+#: Bytes of traces that a batch of alignments keeps.
+TRACE_BYTES = 64 << 20
+_LOW = -1e18
+
+
+def align_batch(pairs: list[tuple[str, str]], scores: dict[tuple[str, str], float], gap_open: float = -10.0, gap_extend: float = -1.0) -> list[tuple[float, list[tuple[int, int]]]]:
+    """Global alignments with affine gaps, free at the ends: the score and the aligned positions of each.
+
+    A gap of k costs gap_open + (k - 1) * gap_extend. Of equal predecessors a match is taken, then a gap
+    in the second. All pairs' cells of one anti-diagonal are computed at once.
     """
-    n, m = len(a), len(b)
-    low = -1e18
-    best = np.full((3, n + 1, m + 1), low)  # 0 match, 1 gap in b (a goes on), 2 gap in a
-    back = np.zeros((3, n + 1, m + 1), np.int8)
-    best[0, 0, 0] = 0.0
-    best[1, 1:, 0], back[1, 1:, 0] = 0.0, 1
-    best[2, 0, 1:], back[2, 0, 1:] = 0.0, 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            prev = best[:, i - 1, j - 1]
-            k = int(prev.argmax())
-            best[0, i, j], back[0, i, j] = prev[k] + scores.get((a[i - 1], b[j - 1]), -4.0), k
-            free = j == m
-            prev = best[:, i - 1, j] + np.array([0.0 if free else gap_open, 0.0 if free else gap_extend, 0.0 if free else gap_open])
-            k = int(prev.argmax())
-            best[1, i, j], back[1, i, j] = prev[k], k
-            free = i == n
-            prev = best[:, i, j - 1] + np.array([0.0 if free else gap_open, 0.0 if free else gap_open, 0.0 if free else gap_extend])
-            k = int(prev.argmax())
-            best[2, i, j], back[2, i, j] = prev[k], k
-    state = int(best[:, n, m].argmax())
-    score, pairs, i, j = float(best[state, n, m]), [], n, m
-    while i or j:
-        came = int(back[state, i, j])
-        if state == 0:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif state == 1:
-            i -= 1
-        else:
-            j -= 1
-        state = came
-    return score, pairs[::-1]
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    rows, cols, size = int(n.max()), int(m.max()), len(pairs)
+    letters = sorted({c for p in pairs for s in p for c in s})
+    code = {c: k for k, c in enumerate(letters)}
+    table = np.array([[scores.get((x, y), -4.0) for y in letters] for x in letters]).reshape(len(letters), len(letters))
+    a, b = np.zeros((size, rows + 1), int), np.zeros((size, cols + 1), int)
+    for k, (x, y) in enumerate(pairs):
+        a[k, : len(x)], b[k, : len(y)] = [code[c] for c in x], [code[c] for c in y]
+    back = np.zeros((3, size, rows + 1, cols + 1), np.int8)  # 0 match, 1 gap in the second, 2 gap in the first
+    back[1, :, :, 0], back[2, :, 0, :] = 1, 2
+    last, before = (np.full((3, size, rows + 1), _LOW) for _ in range(2))
+    final = np.zeros((size, 3))
+    cost = np.array([[gap_open, gap_extend, gap_open], [gap_open, gap_open, gap_extend]])
+    for d in range(rows + cols + 1):
+        now = np.full((3, size, rows + 1), _LOW)
+        if d == 0:
+            now[0, :, 0] = 0.0
+        if 0 < d <= rows:
+            now[1, :, d] = 0.0
+        if 0 < d <= cols:
+            now[2, :, 0] = 0.0
+        i = np.arange(max(1, d - cols), min(rows, d - 1) + 1)
+        if len(i):
+            j = d - i
+            ways = [before[:, :, i - 1] + (table[a[:, i - 1], b[:, j - 1]] if letters else 0.0)]
+            for step, free, prev in ((0, j[None, :] == m[:, None], last[:, :, i - 1]), (1, i[None, :] == n[:, None], last[:, :, i])):
+                ways.append(prev + np.where(free[None], 0.0, cost[step][:, None, None]))
+            for state, way in enumerate(ways):
+                back[state][:, i, j] = way.argmax(axis=0)
+                now[state][:, i] = way.max(axis=0)
+        ends = np.flatnonzero(n + m == d)
+        final[ends] = now[:, ends, n[ends]].T
+        last, before = now, last
+    state, i, j, k = final.argmax(axis=1), n.copy(), m.copy(), np.arange(size)
+    score = final[k, state]
+    found: list[list[tuple[int, int]]] = [[] for _ in pairs]
+    while len(k := k[(i[k] > 0) | (j[k] > 0)]):
+        came = back[state[k], k, i[k], j[k]]
+        for x in k[state[k] == 0].tolist():
+            found[x].append((int(i[x]) - 1, int(j[x]) - 1))
+        i[k] -= state[k] != 2
+        j[k] -= state[k] != 1
+        state[k] = came
+    return [(float(v), f[::-1]) for v, f in zip(score, found, strict=True)]
 
 
 def substitution_scores(text: str) -> dict[tuple[str, str], float]:
@@ -161,7 +277,8 @@ def identity_scores(match: float = 5.0, mismatch: float = -4.0, letters: str = "
 def align_global(pairs: DataFrame, keep: list[str], scores: dict[tuple[str, str], float] | None = None) -> DataFrame:
     """keep, score, n_aligned, aligned (0-based positions) for columns ref and sub, row by row.
 
-    scores: of a standard protein matrix, from substitution_scores(), for instance.
+    scores: of a standard protein matrix, read from its file by substitution_scores(); identities without
+    one. A null sequence is empty.
     """
     from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -171,7 +288,20 @@ def align_global(pairs: DataFrame, keep: list[str], scores: dict[tuple[str, str]
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            done = [align_pair(r, s, scores) for r, s in zip(pdf.ref, pdf["sub"], strict=True)]
+            given = [(r or "", s or "") for r, s in zip(pdf.ref, pdf["sub"], strict=True)]
+            done: list = [None] * len(given)
+            order = sorted(range(len(given)), key=lambda k: (len(given[k][0]), len(given[k][1])))
+            start = 0
+            while start < len(order):
+                end, rows, cols = start, 0, 0
+                while end < len(order):  # as many pairs as the traces have room for, one at least
+                    rows, cols = max(rows, len(given[order[end]][0]) + 1), max(cols, len(given[order[end]][1]) + 1)
+                    if end > start and 3 * rows * cols * (end + 1 - start) > TRACE_BYTES:
+                        break
+                    end += 1
+                for k, found in zip(order[start:end], align_batch([given[k] for k in order[start:end]], scores), strict=True):
+                    done[k] = found
+                start = end
             yield pdf[keep].assign(score=[d[0] for d in done], n_aligned=[len(d[1]) for d in done], aligned=[[{"r": i, "s": j} for i, j in d[1]] for d in done])
 
     return pairs.mapInPandas(step, schema)

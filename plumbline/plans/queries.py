@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import derive
 from plumbline.operators import calibration as cal
-from plumbline.operators import kernels, ranks, resample
+from plumbline.operators import evaluate, kernels, ranks, resample, specs
 from plumbline.plans import sql
 from plumbline.plans.residues import build_dataset, dataset, residues, rounded, table, target_covariates
 from plumbline.plans.sql import METRICS, bins, draws, rd, with_residues
@@ -201,15 +201,12 @@ _POOL = [("baseline", "TRUE"), ("cheap", "p_retailprice <= 1000"), ("small", "p_
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS variant, count(*) AS entities, count(DISTINCT p_type) AS clusters FROM part WHERE {w}" for n, w in _POOL))
 def pool_sensitivity(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_type", F.explode(F.array(*(F.when(F.expr(w), F.lit(n)) for n, w in _POOL))).alias("variant")).where("variant is not null")
-    return part.groupBy("variant").agg(F.count("*").alias("entities"), F.count_distinct("p_type").alias("clusters"))
+    return specs.pool_sweep(table(spark, sf_dir, "part"), dict(_POOL), "p_type")
 
 
 @query("SELECT p_type, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_size BETWEEN 5 AND 45) WHERE k = 1")
 def cluster_representatives(spark, sf_dir):
-    order = F.struct(F.col("p_retailprice"), -F.col("p_partkey"))
-    best = table(spark, sf_dir, "part").where("p_size between 5 and 45").groupBy("p_type").agg(F.max(order).alias("m"))
-    return best.select("p_type", (-F.col("m.col2")).alias("p_partkey"), F.col("m.p_retailprice").alias("p_retailprice"))
+    return specs.representatives(table(spark, sf_dir, "part").where("p_size between 5 and 45"), "p_type", "p_retailprice", "p_partkey")
 
 
 @query("SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS candidate FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
@@ -487,4 +484,165 @@ def flexible_count(spark, sf_dir):
     return rows.groupBy("candidate").agg(F.count_if(F.col("z") > 1).alias("n_flexible"), F.count("*").alias("n"))
 
 
+# Residues by name
+
+
+_NAMES = sorted(derive.MAX_ASA)
+_NAME_LIST = "[" + ", ".join(f"'{n}'" for n in [*_NAMES, "UNK"]) + "]"
+
+
+_AREAS = "CASE name " + " ".join(f"WHEN '{n}' THEN {sql.number(a)}" for n, a in derive.MAX_ASA.items()) + " END"
+_CODES = "CASE name " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in derive.ONE_LETTER.items()) + " ELSE 'X' END"
+
+
+@query(f"SELECT p_partkey, name, CASE WHEN name <> 'UNK' THEN {rd(f'least(greatest(p_retailprice / 8 / {_AREAS}, 0.0), 1.5)', 'x').removesuffix(' AS x')} END AS rsa, {_CODES} AS code FROM (SELECT *, {_NAME_LIST}[p_partkey % 21 + 1] AS name FROM part)")
+def residue_lookup(spark, sf_dir):
+    """Every residue name, and an unknown one."""
+    name = F.element_at(F.array(*(F.lit(n) for n in [*_NAMES, "UNK"])), (F.col("p_partkey") % 21 + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").withColumn("name", name)
+    return rows.select("p_partkey", "name", derive.relative_accessibility(F.col("p_retailprice") / 8, F.col("name")).alias("rsa"), derive.one_letter(F.col("name")).alias("code"))
+
+
+@query("SELECT DISTINCT CASE WHEN p_size > 25 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS entry FROM part")
+def entry_ids(spark, sf_dir):
+    """The entry of a candidate, or the entry id where there is no candidate."""
+    candidate = F.when(F.col("p_size") > 25, F.concat("p_brand", F.lit("_"), F.col("p_size").cast("string")))
+    return table(spark, sf_dir, "part").select(derive.entry_id(candidate, F.col("p_size").cast("string")).alias("entry")).distinct().orderBy("entry")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size <= 25 OR p_size = 26")
+def standard_monomers(spark, sf_dir):
+    entries = table(spark, sf_dir, "part").select("p_partkey", F.nullif(F.col("p_size") - 25, F.lit(1)).alias("rcsb_non_std_monomer_count"))
+    return specs.standard_monomers(entries).select("p_partkey")
+
+
+# Evaluation of cases
+
+_EVALUATION = """WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey AS number, o_orderstatus AS name, o_totalprice AS price FROM orders),
+r AS (SELECT CAST(o_custkey AS VARCHAR) AS target, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, o_orderkey + CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' THEN 1 ELSE 0 END AS number, CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS name FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '2-HIGH' AND o_orderkey < 2000)),
+m AS (SELECT o_orderkey AS predicted, o_orderkey AS mapped FROM orders WHERE NOT (o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'O')),
+np AS (SELECT target, count(*) AS n FROM p GROUP BY 1), nr AS (SELECT target, count(*) AS n FROM r GROUP BY 1),
+j AS (SELECT coalesce(p.target, r.target) AS target, 'apo' AS condition, CAST(0 AS INT) AS model_idx, coalesce(p.place, r.place) AS place, p.number AS predicted_residue_number, r.number AS reference_residue_number, p.name AS predicted_residue_name, r.name AS reference_residue_name, p.price, mapped FROM p FULL JOIN r ON p.target = r.target AND p.place = r.place LEFT JOIN m ON m.predicted = p.number),
+e AS (SELECT j.* EXCLUDE (mapped), CASE WHEN np.n IS DISTINCT FROM nr.n THEN 'count' WHEN mapped IS NULL THEN 'unmapped' WHEN mapped <> reference_residue_number THEN 'number' WHEN predicted_residue_name IS DISTINCT FROM reference_residue_name THEN 'name' END AS problem FROM j LEFT JOIN np ON np.target = j.target LEFT JOIN nr ON nr.target = j.target),
+k AS (SELECT CAST(c_custkey AS VARCHAR) AS target, CAST('0.' || c_nationkey AS DOUBLE) AS tm_score, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_nationkey || '.5' AS DOUBLE) END AS rmsd, c_nationkey AS aligned_length, c_acctbal AS global_lddt FROM customer)
+"""
+
+
+def _case(key: str):
+    return [F.col(key).cast("string").alias("target"), F.lit("apo").alias("condition"), F.lit(0).alias("model_idx")]
+
+
+def _evaluated(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long").alias("place")
+    predicted = o.select(*_case("o_custkey"), place, F.col("o_orderkey").alias("number"), F.col("o_orderstatus").alias("name"))
+    is_a = lambda priority, status: (F.col("o_orderpriority") == priority) & (F.col("o_orderstatus") == status)
+    name = F.when(is_a("5-LOW", "O"), "X").otherwise(F.col("o_orderstatus"))
+    rest = o.where(~(is_a("2-HIGH", "P") & (F.col("o_orderkey") < 2000)))  # some cases lack residues
+    reference = rest.select(*_case("o_custkey"), place, (F.col("o_orderkey") + is_a("1-URGENT", "F").cast("int")).alias("number"), name.alias("name"))
+    mapping = o.where(~is_a("3-MEDIUM", "O")).select(*_case("o_custkey"), F.col("o_orderkey").alias("predicted"), F.col("o_orderkey").alias("reference"))
+    return evaluate.join_residues(predicted, reference, mapping)
+
+
+def _metrics(spark, sf_dir):
+    n = F.col("c_nationkey").cast("string")
+    text = F.concat(F.lit("Aligned length=  "), n, F.when(F.col("c_mktsegment") != "BUILDING", F.concat(F.lit(", RMSD=   "), n, F.lit(".5"))).otherwise(""), F.lit("\nTM-score= 0."), n, F.lit(" (first)\nTM-score= 0.99"))
+    local = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("A."), F.col("o_orderkey").cast("string"), F.lit(".")), "o_totalprice"))).alias("local_lddt"))
+    c = table(spark, sf_dir, "customer").withColumn("u", evaluate.aligner_output(text)).join(local, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return c.select(*_case("c_custkey"), "u.tm_score", "u.rmsd", "u.aligned_length", F.col("c_acctbal").alias("global_lddt"), "local_lddt")
+
+
+@query(_EVALUATION + "SELECT e.* EXCLUDE (price), CASE WHEN predicted_residue_name <> 'O' THEN round(price / 1000, 7) END AS \"pLDDT\", tm_score, rmsd, global_lddt, CASE WHEN predicted_residue_name <> 'P' THEN price END AS local_lddt FROM e LEFT JOIN k ON k.target = e.target")
+def evaluation_residues(spark, sf_dir):
+    confidence = table(spark, sf_dir, "orders").where("o_orderstatus <> 'O'").select(*_case("o_custkey"), F.col("o_orderkey").alias("residue"), (F.col("o_totalprice") / 1000).alias("plddt"))
+    return evaluate.per_residue(_evaluated(spark, sf_dir), confidence, _metrics(spark, sf_dir))
+
+
+@query(_EVALUATION + f"SELECT e.target, 'apo' AS condition, CAST(0 AS INT) AS model_idx, tm_score, rmsd, aligned_length, global_lddt, joined_fraction, joined_fraction < 0.9 AS warning FROM (SELECT target, {rd('CAST(count(*) FILTER (problem IS NULL) AS DOUBLE) / count(*)', 'joined_fraction')} FROM e GROUP BY 1) e LEFT JOIN k ON k.target = e.target")
+def evaluation_cases(spark, sf_dir):
+    return evaluate.per_structure(_evaluated(spark, sf_dir), _metrics(spark, sf_dir))
+
+
+@query("SELECT c_custkey || '_1' AS candidate, CASE WHEN c_mktsegment IN ('FURNITURE', 'MACHINERY') THEN 'refs/' || c_custkey || '.cif.gz' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'refs/' || c_custkey || '.bcif.gz' END AS path FROM customer")
+def reference_files(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("k"), "c_mktsegment")
+    kinds = F.when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit(".bcif.gz"), F.lit(".cif.gz"))).when(F.col("c_mktsegment") == "FURNITURE", F.array(F.lit(".cif.gz"))).when(F.col("c_mktsegment") == "AUTOMOBILE", F.array(F.lit(".bcif.gz"))).otherwise(F.array(F.lit(".txt")))
+    listing = c.select("k", F.explode(kinds).alias("e")).select(F.concat(F.lit("refs/"), "k", "e").alias("path"))
+    return evaluate.reference_files(c.select(F.concat("k", F.lit("_1")).alias("candidate")), listing)
+
+
+@query(with_residues("SELECT candidate, count(*) AS n, count(area) AS n_annotated, max(area) AS largest FROM r LEFT JOIN (SELECT candidate, chain, res_id, max(rsa) AS area FROM r WHERE rsa IS NOT NULL GROUP BY ALL) a USING (candidate, chain, res_id) GROUP BY 1"))
+def annotated_scores(spark, sf_dir):
+    rows = residues(spark, sf_dir)
+    notes = rows.where("rsa is not null").groupBy("candidate", "chain", "res_id").agg(F.max("rsa").alias("area"))
+    rows = evaluate.with_annotations(rows.select("candidate", "chain", "res_id"), notes, ("candidate", "chain", "res_id"))
+    return rows.groupBy("candidate").agg(F.count("*").alias("n"), F.count("area").alias("n_annotated"), F.max("area").alias("largest"))
+
+
+# Specs
+
+
+def _contrast_sql(column: str, a: str, b: str) -> str:
+    gap = lambda level, m="": f"sum({m}(sc - sa)) FILTER ({column} = '{level}') / sum({m}c) FILTER ({column} = '{level}')"
+    values = f"SELECT rep, {gap(a, 'm * ')} - ({gap(b, 'm * ')}) AS v FROM p JOIN ids USING (idx) JOIN b USING (candidate) GROUP BY 1"
+    return f"SELECT '{column}: {a} - {b}' AS contrast, point, lo, hi, se, n_reps, lo > 0 OR hi < 0 AS excludes_zero FROM (SELECT {rd(f'{gap(a)} - ({gap(b)})', 'point')} FROM b), (SELECT {_interval('v')} FROM ({values}))"
+
+
+@query(with_residues(" UNION ALL ".join(_contrast_sql(*c) for c in (("structured", "coil", "helix_or_sheet"), ("exposure", "buried", "exposed"))), bins("candidate, structured, exposure") + draws(REPS)))
+def contrast_specs(spark, sf_dir):
+    """Two good specs; a malformed one, an unknown column and an empty level are skipped."""
+    given = ["structured:coil-helix_or_sheet", "exposure:buried-exposed", "structured", "nothing:a-b", "exposure:buried-drowned"]
+    found, skipped = specs.contrasts(dataset(spark, sf_dir), given, reps=REPS)
+    assert len(skipped) == 3
+    return found
+
+
+@query(with_residues(f"SELECT bin, c AS n, {rd('sc - sa', 'total_gap')} FROM b", bins("", "d", "chain = 'A'")))
+def where_curve(spark, sf_dir):
+    return cal.reliability_curve(specs.where_spec(residues(spark, sf_dir), "chain=A")).select("bin", "n", (F.col("gap") * F.col("n")).alias("total_gap"))
+
+
+@query(with_residues(
+    f"SELECT bin, {rd('bin * 5', 'bin_lo')}, {rd('(bin + 1) * 5', 'bin_hi')}, n, {rd('n / total', 'share')}, {rd('100 * sc / n', 'mean_plddt')}, {rd('sa / n', 'mean_lddt')}, {rd('100 * (sc - sa) / n', 'gap_pp')}, {rd('lo', 'gap_lo')}, {rd('hi', 'gap_hi')}, CASE WHEN n < 500 THEN 'sparse' ELSE '' END AS flag, printf('[%+.2f, %+.2f]', lo, hi) AS ci, CASE WHEN n >= 500 AND lo > 0 THEN 'overconfident' WHEN n >= 500 AND hi < 0 THEN 'underconfident' END AS verdict FROM (SELECT bin, CAST(sum(c) AS BIGINT) AS n, sum(sc) AS sc, sum(sa) AS sa, sum(sum(c)) OVER () AS total FROM b GROUP BY 1) JOIN (SELECT bin, 100 * quantile_cont((sc - sa) / c, 0.025) AS lo, 100 * quantile_cont((sc - sa) / c, 0.975) AS hi FROM q GROUP BY 1) USING (bin)",
+    bins("candidate") + draws(REPS) + _REP_BINS,
+))
+def classified_curve(spark, sf_dir):
+    return resample.classified_curve(residues(spark, sf_dir), REPS, min_count=500)
+
+
+# Correlations between signals
+
+
+def _rho(name_x: str, name_y: str, x: str, y: str) -> str:
+    return f"SELECT '{name_x}' AS x, '{name_y}' AS y, {rd('corr(a, b)', 'rho')}, count(*) AS n FROM (SELECT {_RANK.format(x)} AS a, {_RANK.format(y)} AS b FROM r WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+
+
+_PAIRS = [("plddt", "ref_bfactor"), ("plddt", "rsa"), ("rsa", "lddt")]
+
+
+@query(with_residues(" UNION ALL ".join(_rho(x, y, x, y) for x, y in _PAIRS)))
+def signal_correlations(spark, sf_dir):
+    return ranks.spearman_pairs(residues(spark, sf_dir), _PAIRS)
+
+
+_AGREE = ", ag AS (SELECT candidate, chain, res_id, max(rsa) AS agreement FROM r WHERE rsa IS NOT NULL GROUP BY ALL), s AS (SELECT plddt, agreement, lddt, (" + _RANK.format("plddt") + ") / count(*) OVER () + (" + _RANK.format("agreement") + ") / count(*) OVER () AS combined, quantile_cont(lddt, 0.1) OVER () AS cut FROM r JOIN ag USING (candidate, chain, res_id))"
+
+
+@query(with_residues(" UNION ALL ".join(f"SELECT '{c}' AS signal, auc, rho FROM ({_auc(f'-{c}', 'lddt <= cut', 's')}), (SELECT {rd('corr(a, b)', 'rho')} FROM (SELECT {_RANK.format(c)} AS a, {_RANK.format('lddt')} AS b FROM s))" for c in ("plddt", "agreement", "combined")), _AGREE))
+def agreement_compare(spark, sf_dir):
+    rows = residues(spark, sf_dir)
+    agreement = rows.where("rsa is not null").groupBy("candidate", "chain", "res_id").agg(F.max("rsa").alias("agreement"))
+    joined = evaluate.agreement_join(rows.select("candidate", "chain", "res_id", "plddt", "lddt"), agreement)
+    return ranks.signal_comparison(joined, ["plddt", "agreement"], "lddt", 0.1)
+
+
+_SCAN_P = ", px AS (SELECT candidate, 'max_identity' AS covariate, max_identity AS v, tail AS f FROM ft UNION ALL SELECT candidate, 'npc', npc, tail FROM ft UNION ALL SELECT candidate, 'neff', neff, tail FROM ft), py AS (SELECT candidate, covariate, f, rank() OVER (PARTITION BY covariate ORDER BY v) + (count(*) OVER (PARTITION BY covariate, v) - 1) / 2.0 AS rk FROM px WHERE v IS NOT NULL), pk AS (SELECT covariate, count(*) AS pn, CAST(count(*) FILTER (f) AS BIGINT) AS k, sum(rk) FILTER (f) AS own FROM py GROUP BY 1), pd AS (SELECT covariate, perm, rk, row_number() OVER (PARTITION BY covariate, perm ORDER BY " + sql.digest("0", "perm", "candidate") + f", candidate) AS place FROM py, (SELECT unnest(range({PERMS})) AS perm)), ps AS (SELECT covariate, perm, pn, k, own, sum(rk) AS s FROM pd JOIN pk USING (covariate) WHERE place <= k AND k < pn AND pn >= 5 GROUP BY ALL), pp AS (SELECT covariate, (count(*) FILTER (abs((s - k * (k + 1) / 2.0) / (k * (pn - k)) - 0.5) >= abs((own - k * (k + 1) / 2.0) / (k * (pn - k)) - 0.5) - 1e-12) + 1) / {PERMS + 1}.0 AS p FROM ps GROUP BY 1)"
+
+
+@query(with_residues(f"SELECT covariate, n, {rd('auc', 'auc_tail_higher')}, {rd('abs(auc - 0.5)', 'effect')}, {rd('tm', 'tail_median')}, {rd('rm', 'rest_median')}, {rd('p', 'p_perm')}, {rd('0.05 / count(*) OVER ()', 'bonferroni')}, CASE WHEN auc > 0.5 THEN 'higher' ELSE 'lower' END AS direction, coalesce(p < 0.05 / count(*) OVER (), FALSE) AS significant FROM g LEFT JOIN pp USING (covariate)", bins("candidate") + _PER + _SCAN + _SCAN_P))
+def tail_scan(spark, sf_dir):
+    table_ = _tail_table(spark, sf_dir).select("candidate", "max_identity", F.col("nonpolymer_entity_count").alias("npc"), "neff", "tail")
+    return ranks.significant(resample.scan_with_p(table_, "candidate", ranks.eligible(table_.drop("tail")), "tail", PERMS))
+
+
 __all__ = ["ORACLES", "QUERIES", "build_dataset"]

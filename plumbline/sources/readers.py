@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.derive import first_text, sequence_text
+from plumbline.functions.derive import ONE_LETTER, first_text, sequence_text
 from plumbline.schemas import ATOMS, INVENTORY_CASE, SEARCH_RESPONSE, require_columns
 
 
@@ -184,7 +185,7 @@ def confidence_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def atoms(spark: SparkSession, path: str) -> DataFrame:
-    """path and ATOMS of the text mmCIF files at `path` (gzip by suffix)."""
+    """path and ATOMS of the text mmCIF or PDB files at `path` (PDB and gzip by suffix)."""
     schema = f"path string, {ATOMS}"
     names = [part.split()[0] for part in schema.split(", ")]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -197,13 +198,17 @@ def atoms(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for name, content in zip(pdf.path, pdf.content, strict=True):
                 body = gzip.decompress(content) if name.endswith(".gz") else content
-                yield pd.DataFrame([(name, *a) for a in cif_atoms(body.decode())], columns=names)
+                parse = pdb_atoms if name.removesuffix(".gz").endswith((".pdb", ".ent")) else cif_atoms
+                yield pd.DataFrame([(name, *a) for a in parse(body.decode())], columns=names)
 
     return files.mapInPandas(step, schema)
 
 
+_CIF_VALUE = re.compile(r"""'((?:[^']|'(?=\S))*)'(?=\s|$)|"((?:[^"]|"(?=\S))*)"(?=\s|$)|(\S+)""")
+
+
 def cif_atoms(text: str) -> list[tuple]:
-    """The rows of the _atom_site loop as ATOMS, by column names; values are split on white space."""
+    """The rows of the _atom_site loop as ATOMS, by column names; values may be quoted."""
     names: list[str] = []
     found: list[tuple] = []
     inside = False
@@ -214,7 +219,7 @@ def cif_atoms(text: str) -> list[tuple]:
         elif inside and (line.startswith(("#", "loop_", "_")) or not line.strip()):
             break
         elif inside:
-            row = dict(zip(names, line.split(), strict=False))
+            row = dict(zip(names, (a or b or c for a, b, c in _CIF_VALUE.findall(line)), strict=False))
             get = lambda *keys, row=row: next((row[k] for k in keys if row.get(k, "?") not in ("?", ".")), None)
             number = get("label_seq_id", "auth_seq_id")
             coordinates = [get("Cartn_x"), get("Cartn_y"), get("Cartn_z")]
@@ -233,16 +238,46 @@ def ca_residues(atom_rows: DataFrame) -> DataFrame:
 
 
 def search_paths(schema: dict) -> list[str]:
-    """Sorted dotted paths of a JSON schema's leaves that have a search context."""
-    found: set[str] = set()
+    """Sorted dotted paths of a JSON schema's leaves that have a search context.
 
-    def walk(node: dict, prefix: str) -> None:
-        while node.get("type") == "array" and isinstance(node.get("items"), dict):
-            node = node["items"]
-        if "rcsb_search_context" in node:
-            found.add(prefix)
+    Arrays are followed into their items, objects into their properties; only properties are leaves, so
+    neither the items of an array of scalars nor an object that has properties is one.
+    """
+    found: set[str] = set()
+    open_nodes = [("", schema)]
+    while open_nodes:
+        prefix, node = open_nodes.pop()
         for name, child in (node.get("properties") or {}).items():
-            walk(child, f"{prefix}.{name}" if prefix else name)
+            path = f"{prefix}.{name}" if prefix else name
+            if not isinstance(child, dict):
+                continue
+            inner = child.get("items") if child.get("type") == "array" and "items" in child else child if child.get("properties") else None
+            if isinstance(inner, dict):
+                open_nodes.append((path, inner))
+            elif inner is None and child.get("rcsb_search_context"):
+                found.add(path)
+    return sorted(found)
+
+
+#: The fields of an ATOM record, as columns of the line.
+_PDB = {"atom_name": (12, 16), "res_name": (17, 20), "chain": (21, 22), "res_id": (22, 26), "x": (30, 38), "y": (38, 46), "z": (46, 54), "b_factor": (60, 66)}
+
+
+def pdb_atoms(text: str) -> list[tuple]:
+    """The ATOM records of a PDB text as ATOMS; records without a number or coordinates are left out."""
+    found, model = [], 1
+    for line in text.splitlines():
+        if line.startswith("MODEL"):
+            model = int(line[5:].strip() or 1)
+        elif line.startswith("ATOM"):
+            at = {k: line[a:b].strip() for k, (a, b) in _PDB.items()}
+            try:
+                found.append((model, at["chain"], int(at["res_id"]), at["res_name"], at["atom_name"], float(at["x"]), float(at["y"]), float(at["z"]), float(at["b_factor"]) if at["b_factor"] else None))
+            except ValueError:
+                continue
+    return found
+
 
-    walk(schema, "")
-    return sorted(found - {""})
+def protein_atoms(atom_rows: DataFrame, model: int = 1) -> DataFrame:
+    """The atoms of the model's standard amino acids."""
+    return atom_rows.where((F.col("model_idx") == model) & F.col("res_name").isin(*ONE_LETTER))

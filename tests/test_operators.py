@@ -93,10 +93,9 @@ def test_neff_and_alignment(spark):
     msa = spark.createDataFrame([("t", i, s) for i, s in enumerate(["ACDE", "ACDE", "ACDF", "WWWW", ""])], "candidate string, row int, sequence string")
     r = kernels.neff(msa).first()
     assert (r.n_sequences, r.neff, r.neff_per_col, r.length, r.neff_estimated) == (4, 2.0, 0.5, 4, False)
-    score, pairs = kernels.align_pair("ACDEF", "CDE", kernels.identity_scores())
+    (score, pairs), (gapped, more) = kernels.align_batch([("ACDEF", "CDE"), ("AAAACCCC", "AAAAGCCCC")], kernels.identity_scores())
     assert score == 15 and pairs == [(1, 0), (2, 1), (3, 2)]
-    score, pairs = kernels.align_pair("AAAACCCC", "AAAAGCCCC", kernels.identity_scores())
-    assert score == 31 and len(pairs) == 8  # a mismatch and a free end beat the gap
+    assert gapped == 31 and len(more) == 8  # a mismatch and a free end beat the gap
     table = kernels.substitution_scores("# a matrix\n   A C\nA 4 0\nC 0 9\n")
     assert table[("A", "C")] == 0 and table[("C", "C")] == 9
 
@@ -162,6 +161,8 @@ def test_readers_and_writers(spark, tmp_path):
     assert text == [">protein|name=t\n" + "A" * 80 + "\n" + "A" * 80, ">protein|name=u\n" + "C" * 80 + "\nC"]
     schema = {"properties": {"a": {"type": "array", "items": {"properties": {"b": {"rcsb_search_context": ["x"]}}}}, "c": {"rcsb_search_context": ["y"]}, "d": {}}}
     assert readers.search_paths(schema) == ["a.b", "c"]
+    more = {"properties": {"l": {"type": "array", "items": {"type": "string", "rcsb_search_context": ["x"]}, "rcsb_search_context": ["x"]}, "o": {"rcsb_search_context": ["x"], "properties": {"p": {"rcsb_search_context": ["x"]}}}}}
+    assert readers.search_paths(more) == ["o.p"]
 
 
 def test_candidate_parts(spark):
