@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.scratch import drop_scratch, shared_dir, stored
+
+__all__ = ["drop_scratch", "shared_dir", "slices", "stored", "table", "text_and_kept", "with_kept"]
+
 #: Rows and bytes in an Arrow batch: texts may be long, so batches are kept small.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: Characters that a Python step works on at a time.
@@ -17,54 +19,16 @@ SLICE_CHARS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of the folder `sf_dir`."""
+    """The Parquet table `name` of the folder `sf_dir`.
+
+    It also sets the session's bounds of an Arrow batch, which are read when a query runs: texts may be
+    long, and the default is ten thousand rows.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the driver and all executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. Only where it is unset and all tasks run on
-    the driver's machine (as in tests) a temporary folder takes its place; elsewhere that's an error.
-    What the application leaves there is deleted when the driver's JVM ends.
-    """
-    context = spark.sparkContext
-    root = getattr(context, "_plumbline_scratch", None)
-    if root is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        shared = shared or tempfile.mkdtemp(prefix="plumbline-")
-        root = context._plumbline_scratch = f"{shared.rstrip('/')}/{context.applicationId}"
-        path = context._jvm.org.apache.hadoop.fs.Path(root)
-        files = path.getFileSystem(context._jsc.hadoopConfiguration())
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return f"{root}/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once as Parquet to the shared folder, and read from there.
-
-    This cuts the lineage, so that a lost executor costs no repeated work.
-    """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes at once what stored() and the file operators of this application have written."""
-    context = spark.sparkContext
-    root = getattr(context, "_plumbline_scratch", None)
-    if root is not None:
-        path = context._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        context._plumbline_scratch = None
-
-
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of `texts` of about `chars` characters each, and of one text at least."""
     first = size = 0

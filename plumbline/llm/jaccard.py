@@ -367,3 +367,18 @@ def one_of_each(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """jaccard_components() of all documents: 4-word shingles, 0.85; see there for awkward rows."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: op10_jaccard_join in DuckDB's SQL: all pairs that share a shingle, and the closure of the links. It is
+#: quadratic in the documents that share one, so it is for small tables.
+ORACLE_SQL = """WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN len(words) >= 4 THEN list_distinct(list_transform(range(1, CAST(len(words) - 2 AS BIGINT)), lambda i: array_to_string(words[i : i + 3], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
+n AS (SELECT rid, doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM s),
+g AS (SELECT rid, unnest(shingles) AS shingle FROM s WHERE doc_id IS NOT NULL),
+o AS (SELECT a.rid AS ra, b.rid AS rb, count(*) AS overlap FROM g a JOIN g b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY 1, 2),
+l AS (SELECT x.doc_id AS a, y.doc_id AS b FROM o JOIN n x ON x.rid = o.ra JOIN n y ON y.rid = o.rb WHERE 100 * overlap >= 85 * (x.n_shingles + y.n_shingles - overlap)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT DISTINCT doc_id AS a, doc_id AS b FROM n WHERE n_shingles > 0 AND doc_id IS NOT NULL UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+c AS (SELECT a AS doc_id, min(b) AS component FROM reach GROUP BY 1)
+SELECT n.doc_id, n_shingles, CASE WHEN n_shingles > 0 THEN coalesce(component, n.doc_id) ELSE n.doc_id END AS component_id FROM n LEFT JOIN c ON c.doc_id = n.doc_id"""

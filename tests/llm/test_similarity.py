@@ -92,6 +92,18 @@ def test_jaccard_keeps_links_of_repeated_ids(spark):
     assert got == by_rows(rows, 4, 85, 100) and (4, 57, 1) in got
 
 
+def test_the_sql_of_the_join_says_the_same():
+    import duckdb
+    import pandas as pd
+
+    rows = [(*r, k) for k, r in enumerate(repeated_ids())]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "k"]).astype({"doc_id": "Int64"})
+    with duckdb.connect() as con:
+        con.register("documents", documents)
+        got = con.sql(J.ORACLE_SQL).fetchall()
+    assert sorted(got, key=str) == by_rows(repeated_ids(), 4, 85, 100)
+
+
 def test_one_of_each_group_stays(spark, awkward, nothing):
     rows = repeated_ids()
     df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, th int")
