@@ -131,7 +131,7 @@ def test_sparse_and_broken_bins(spark):
     rows = [(f"t{i % 9}", 60.0 + 20 * (i % 2), 0.9 if i % 2 else 0.2) for i in range(90)] + [("t1", 10.0, 0.9)]
     got = {r.bin: r for r in resample.classified_curve(spark.createDataFrame(rows, "candidate string, plddt double, lddt double"), 50, min_count=5).collect()}
     assert got[11].verdict == "overconfident" and got[16].verdict == "underconfident"
-    assert (got[1].flag, got[1].verdict) == ("sparse", None) and got[11].ci == "[+40.00, +40.00]"
+    assert (got[2].flag, got[2].verdict) == ("sparse", None) and got[11].ci == "[+40.00, +40.00]"
 
 
 def plain_alignment(a, b, scores, gap_open=-10.0, gap_extend=-1.0):
