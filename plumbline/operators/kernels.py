@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from plumbline.functions.derive import one_letter
+from plumbline.functions.derive import near_chain_gap, one_letter, relative_accessibility, with_zscore
 
 #: Published definition of lDDT: inclusion radius and distance thresholds, in angstroms.
 RADIUS, THRESHOLDS = 15.0, (0.5, 1.0, 2.0, 4.0)
@@ -206,6 +207,84 @@ def structure_scores(reference: DataFrame, subject: DataFrame, metric: str = "ca
     return ids.join(found, ["structure", "residue"], "left").join(coverage.select("structure", "coverage"), "structure").select("structure", "chain", "res_id", "lddt", "coverage")
 
 
+#: Radii of heavy atoms by their bonds and hydrogens, in angstroms (a published set), and the
+#: probe's. Carbons are tetrahedral but for those named here; so are hydroxyl oxygens.
+RADII = {"C": 1.88, "N": 1.64, "O": 1.42, "S": 1.77}
+BARE_CARBON, RING_CARBON, HYDROXYL, PROBE = 1.61, 1.76, 1.46, 1.4
+BARE = ["ARG CZ", "ASN CG", "ASP CG", "GLN CD", "GLU CD", "HIS CG", "PHE CG", "TRP CG", "TRP CD2", "TRP CE2", "TYR CG", "TYR CZ"]
+RING = [
+    "HIS CD2", "HIS CE1", "PHE CD1", "PHE CD2", "PHE CE1", "PHE CE2", "PHE CZ", "TRP CD1", "TRP CE3", "TRP CZ2", "TRP CZ3", "TRP CH2",
+    "TYR CD1", "TYR CD2", "TYR CE1", "TYR CE2",
+]
+HYDROXYLS = ["SER OG", "THR OG1", "TYR OH"]
+
+
+def atom_radius(res_name: Column, atom_name: Column) -> Column:
+    """The atom's radius by its name; null for hydrogens and other elements."""
+    key, element = F.concat_ws(" ", res_name, atom_name), F.regexp_extract(atom_name, "[A-Z]", 0)
+    named = F.when((atom_name == "C") | key.isin(BARE), BARE_CARBON).when(key.isin(RING), RING_CARBON).when(key.isin(HYDROXYLS), HYDROXYL)
+    for e, r in RADII.items():
+        named = named.when(element == e, r)
+    return named
+
+
+def sphere(points: int) -> np.ndarray:
+    """Points of the unit sphere along a golden spiral."""
+    k = np.arange(points)
+    z, turn = 1 - (2 * k + 1) / points, k * np.pi * (3 - np.sqrt(5))
+    ring = np.sqrt(1 - z * z)
+    return np.stack((np.cos(turn) * ring, np.sin(turn) * ring, z), axis=1)
+
+
+def accessible_area(atoms: DataFrame, points: int = 1000, probe: float = PROBE) -> DataFrame:
+    """structure, atom, area: the solvent accessible surface of each heavy atom, in square angstroms.
+
+    atoms: structure, atom, res_name, atom_name, x, y, z; atoms without a radius don't count. The area is
+    the share of test points, on the sphere of the atom's and the probe's radii, that lie in no other such
+    sphere. Atoms meet neighbours by cells, so a structure is no single task's; what touches an atom is
+    bounded by its volume.
+    """
+    radius = atom_radius(F.col("res_name"), F.col("atom_name")) + F.lit(probe)
+    side = 2 * (max(RADII.values()) + probe)
+    cell = {f"c{c}": F.floor(F.col(c) / F.lit(side)).cast("long") for c in "xyz"}
+    rows = atoms.select("structure", "atom", "x", "y", "z", radius.alias("r")).where("r is not null").withColumns(cell)
+    around = F.explode(F.array(*(F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1))))
+    own = ("structure", "atom", "x", "y", "z", "r")
+    left = rows.select(*own, around.alias("c")).select(*own, "c.*")
+    right = rows.select("structure", "cx", "cy", "cz", *(F.col(c).alias(f"{c}_b") for c in own[1:]))
+    offset = [F.col(f"{c}_b") - F.col(c) for c in "xyz"]
+    near = left.join(right, ["structure", "cx", "cy", "cz"]).where("atom <> atom_b").where(sum((o * o for o in offset), F.lit(0.0)) < F.pow(F.col("r") + F.col("r_b"), 2))
+    near = near.groupBy("structure", "atom").agg(F.flatten(F.collect_list(F.array(*offset, F.col("r_b")))).alias("near"))
+    at = sphere(points)
+
+    def areas(r: pd.Series, near: pd.Series) -> pd.Series:
+        found = []
+        for size, flat in zip(r, near, strict=True):
+            free = np.ones(points, bool)
+            if flat is not None and len(flat):
+                others = np.asarray(flat, float).reshape(-1, 4)
+                away = ((at[:, None, :] * size - others[None, :, :3]) ** 2).sum(axis=2)
+                free = (away >= others[:, 3] ** 2).all(axis=1)
+            found.append(4 * np.pi * size * size * free.mean())
+        return pd.Series(found, dtype=float)
+
+    area = F.pandas_udf(areas, DoubleType())
+    return rows.select("structure", "atom", "r").join(near, ["structure", "atom"], "left").select("structure", "atom", area("r", "near").alias("area"))
+
+
+def residue_annotations(atoms: DataFrame, points: int = 1000) -> DataFrame:
+    """structure, chain, res_id, ref_bfactor, ref_bfactor_z, rsa and near_chain_gap of each residue.
+
+    atoms: structure, atom, chain, res_id, res_name, atom_name, x, y, z, b_factor. The score is within the
+    structure; rsa is null for an unknown residue. Secondary structure isn't computed.
+    """
+    rows = atoms.join(accessible_area(atoms, points), ["structure", "atom"], "left")
+    area = F.sum(F.coalesce("area", F.lit(0.0)))
+    found = rows.groupBy("structure", "chain", "res_id").agg(F.avg("b_factor").alias("ref_bfactor"), relative_accessibility(area, F.min_by("res_name", "atom")).alias("rsa"))
+    found = with_zscore(found, "ref_bfactor", "structure", "ref_bfactor_z")
+    return found.select("structure", "chain", "res_id", "ref_bfactor", "ref_bfactor_z", "rsa", near_chain_gap("res_id", "structure", "chain").alias("near_chain_gap"))
+
+
 #: Bytes of traces that a batch of alignments keeps.
 TRACE_BYTES = 64 << 20
 _LOW = -1e18

@@ -406,6 +406,16 @@ def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", readers.cache_key(F.col("url")).alias("key"))
 
 
+_URL = "CASE page_id % 3 WHEN 0 THEN 'https://data.rcsb.org/rest/v1/core/entry/E' || page_id WHEN 1 THEN 'https://data.rcsb.org/rest/v1/core/polymer_entity/E' || page_id || '/1' ELSE url END"
+
+
+@query(f"SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'entry/E' || page_id || '.json' WHEN 1 THEN 'polymer_entity/E' || page_id || '_1.json' ELSE CASE WHEN page_id % 2 = 0 THEN 'search/' || substr(sha256(url), 1, 16) || '_' || substr(sha256('{{\"a\": [1, true], \"b\": ' || page_id || '}}'), 1, 16) ELSE 'other/' || substr(sha256(url), 1, 16) END || '.json' END AS path FROM pages")
+def cache_paths(spark, sf_dir):
+    """Bodies have their keys in another order than their canonical form."""
+    body = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"b":'), F.col("page_id").cast("string"), F.lit(', "a":[1,true]}')))
+    return table(spark, sf_dir, "pages").select("page_id", readers.cache_path(F.expr(_URL), body).alias("path"))
+
+
 @query("WITH s AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS q FROM documents) SELECT doc_id, md5('>protein|name=' || CAST(doc_id AS VARCHAR) || chr(10) || rtrim(regexp_replace(q, '(.{80})', '\\1' || chr(10), 'g'), chr(10))) AS record_md5 FROM s")
 def fasta_wrap(spark, sf_dir):
     s = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("q"))
@@ -465,6 +475,16 @@ def ensemble_agreement(spark, sf_dir):
     return kernels.ensemble_agreement(models)
 
 
+_SPHERE = "s AS (SELECT cos(t) * sqrt(1 - h * h) AS sx, sin(t) * sqrt(1 - h * h) AS sy, h AS sz, k FROM (SELECT k, 1 - (2 * k + 1) / 1000.0 AS h, k * pi() * (3 - sqrt(5)) AS t FROM (SELECT unnest(range(1000)) AS k)))"
+_HIDDEN = "SELECT DISTINCT a.structure, a.atom, k FROM a JOIN a b ON a.structure = b.structure AND a.atom <> b.atom AND " + _distance("a", "b") + " < a.r + b.r JOIN s ON pow(a.x + a.r * sx - b.x, 2) + pow(a.y + a.r * sy - b.y, 2) + pow(a.z + a.r * sz - b.z, 2) < b.r * b.r"
+
+
+@query(f"{_MODELS}, a AS (SELECT *, CAST(CASE atom % 4 WHEN 0 THEN 1.88 WHEN 1 THEN 1.64 WHEN 2 THEN 1.42 ELSE 1.77 END AS DOUBLE) + 1.4 AS r FROM m1), {_SPHERE}, h AS (SELECT structure, atom, count(*) AS c FROM ({_HIDDEN}) GROUP BY 1, 2) SELECT a.structure, a.atom, {rd('4 * pi() * r * r * (1000 - coalesce(c, 0)) / 1000', 'area')} FROM a LEFT JOIN h USING (structure, atom)")
+def surface_area(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, ("CB", "N", "O", "SG"))), (F.col("atom") % 4 + 1).cast("int"))
+    return kernels.accessible_area(_model(spark, sf_dir, 1).select("*", F.lit("CYS").alias("res_name"), name.alias("atom_name")))
+
+
 @query()
 def align_global(spark, sf_dir):
     """Whole names against whole types of the parts, as sequences of letters."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,29 @@ def cache_key(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON in one form: keys sorted, a space after commas and colons. Null stays null; no JSON is an error."""
+
+    def canonical(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: json.dumps(json.loads(v), sort_keys=True), na_action="ignore")
+
+    return F.pandas_udf(canonical, T.StringType())(text)
+
+
+#: Addresses whose documents are kept by entry, or by entry and entity.
+ENTRY_URL, ENTITY_URL = "https://data.rcsb.org/rest/v1/core/entry/", "https://data.rcsb.org/rest/v1/core/polymer_entity/"
+
+
+def cache_path(url: Column, body: Column | None = None) -> Column:
+    """Where, in the cache's folder, the response to a URL and a JSON body (null: none) is kept."""
+    part = lambda k: F.element_at(F.split(url, "/"), k)
+    name = F.when(url.startswith(ENTITY_URL), F.concat(F.lit("polymer_entity/"), part(-2), F.lit("_"), part(-1)))
+    name = name.when(url.startswith(ENTRY_URL), F.concat(F.lit("entry/"), part(-1)))
+    if body is not None:
+        name = name.when(body.isNotNull(), F.concat(F.lit("search/"), cache_key(url), F.lit("_"), cache_key(canonical_json(body))))
+    return F.concat(name.otherwise(F.concat(F.lit("other/"), cache_key(url))), F.lit(".json"))
+
+
 def max_identity(response: Column) -> tuple[Column, Column]:
     """Largest identity of the sequence services' hits (0 if none), and the number of hits."""
     hits = F.coalesce(response["result_set"], F.array())
@@ -193,8 +217,6 @@ def atoms(spark: SparkSession, path: str) -> DataFrame:
     def step(batches):
         import gzip
 
-        import pandas as pd
-
         for pdf in batches:
             for name, content in zip(pdf.path, pdf.content, strict=True):
                 body = gzip.decompress(content) if name.endswith(".gz") else content

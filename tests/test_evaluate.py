@@ -216,6 +216,29 @@ def test_chains_are_paired_and_atoms_matched(spark):
     assert kernels.structure_scores(one, one, "all-atom").first().lddt is None  # no atom of another residue
 
 
+def test_surface_areas(spark):
+    schema = "structure string, atom int, chain string, res_id int, res_name string, atom_name string, x double, y double, z double, b_factor double"
+    rows = [("one", 0, "A", 1, "ALA", "CA", 0.0, 0.0, 0.0, 5.0), ("one", 1, "A", 1, "ALA", "HA", 1.0, 0.0, 0.0, 5.0)]
+    rows += [("two", k, "A", 1 + 2 * k, ("GLY", "UNK")[k], "CA", 2.0 * k, 0.0, 0.0, 10.0 * k) for k in range(2)]
+    rng = np.random.default_rng(4)
+    at, names = rng.uniform(-8, 8, (120, 3)), ["N", "CA", "C", "O", "CB", "CG"]
+    rows += [("many", k, "A", k // 6, "PHE", names[k % 6], *map(float, at[k]), 1.0) for k in range(120)]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.structure, r.atom): r.area for r in kernels.accessible_area(df).collect()}
+    r = 1.88 + 1.4
+    assert got["one", 0] == pytest.approx(4 * np.pi * r * r) and ("one", 1) not in got
+    assert got["two", 0] == pytest.approx(2 * np.pi * r * (r + 1.0), rel=0.01)  # the cap beyond the middle is hidden
+    radii = np.array([{"N": 1.64, "CA": 1.88, "C": 1.61, "O": 1.42, "CB": 1.88, "CG": 1.61}[names[k % 6]] + 1.4 for k in range(120)])
+    for k in range(120):
+        away = ((at[k] + kernels.sphere(1000) * radii[k])[:, None, :] - np.delete(at, k, axis=0)[None]) ** 2
+        free = (away.sum(axis=2) >= np.delete(radii, k) ** 2).all(axis=1).mean()
+        assert got["many", k] == pytest.approx(4 * np.pi * radii[k] ** 2 * free)
+    notes = {(r.structure, r.res_id): r for r in kernels.residue_annotations(df).collect()}
+    assert notes["one", 1].ref_bfactor_z == 0.0 and notes["one", 1].rsa == pytest.approx(min(got["one", 0] / 129, 1.5)) and not notes["one", 1].near_chain_gap
+    assert (notes["two", 1].ref_bfactor_z, notes["two", 3].ref_bfactor_z) == (-1.0, 1.0) and notes["two", 3].rsa is None and notes["two", 3].near_chain_gap
+    assert kernels.residue_annotations(df.limit(0)).count() == 0
+
+
 def test_agreement_join_raises_on_nothing(spark):
     a = spark.createDataFrame([("t", "A", 1, 0.5)], "candidate string, chain string, res_id int, agreement double")
     assert evaluate.agreement_join(a.drop("agreement"), a).count() == 1
