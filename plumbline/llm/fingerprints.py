@@ -71,50 +71,59 @@ def shown(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.lower(F.hex(x))), ",")
 
 
-#: Rows of a bucket at least, and buckets at most.
+#: Distinct rows of a bucket at least, and buckets at most.
 BUCKET_ROWS, BUCKETS = 1024, 1 << 14
 
 
-def bucket_of(ids: DataFrame, doc_id: Column) -> tuple[Column, int]:
-    """An order-preserving bucket (1 to the count that is also returned; 0 for null) of a doc_id.
+def buckets(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """docs (known, doc_id, h, ...) with `bucket` and `opens`; the number of buckets, and the first known one.
 
-    The distinct ids alone are range-partitioned and sorted, and every so many'th of them bounds a
-    bucket; the bounds (BUCKETS of them, and one for each partition, at most) are looked up by
-    binary search.
+    Buckets, from 1, are ranges of the order (known, doc_id, h), so a doc_id that many rows have is cut
+    too; only rows equal in all three stay together. The distinct keys alone are range-partitioned
+    and sorted, and every so many'th of them, with the first known one, opens a bucket; these (BUCKETS
+    of them, and two for each partition, at most) are looked up by binary search. `opens` marks the
+    rows of a key that opens its bucket.
     """
-    ids = ids.where("doc_id is not null").select("doc_id").distinct()
-    ids = stored(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
-    step = max(BUCKET_ROWS, -(-ids.count() // BUCKETS))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    bounds = sorted(r[0] for r in ids.withColumn("place", place).where((F.col("place") - 1) % step == 0).select("doc_id").collect())
-    count = len(bounds)
-    array = F.split(F.lit(",".join(map(str, bounds)) or "0"), ",").cast("array<bigint>")
-    powers = F.array(*(F.lit(1 << k) for k in range(count.bit_length(), -1, -1)))
-    search = F.aggregate(powers, F.lit(0), lambda n, p: F.when(F.get(array, n + p - 1) <= doc_id, n + p).otherwise(n))
-    return search, count
+    key = ["known", "doc_id", "h"]
+    keys = stored(docs.select(key).distinct().repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
+    step = max(BUCKET_ROWS, -(-keys.count() // BUCKETS))
+    place = F.row_number().over(Window.partitionBy("part", "known").orderBy("doc_id", "h"))
+    bounds = sorted(tuple(r) for r in keys.withColumn("place", place).where((F.col("place") - 1) % step == 0).select(key).collect())
+    arrays = [F.split(F.lit(",".join(str(int(b[k])) for b in bounds) or "0"), ",").cast("array<bigint>") for k in range(3)]
+    own = [F.col("known").cast("long"), F.col("doc_id"), F.col("h")]
+
+    def reached(at: Column) -> Column:
+        (a, b, c), (known, doc_id, h) = (F.get(x, at) for x in arrays), own
+        return (a < known) | ((a == known) & ((b < doc_id) | ((b == doc_id) & (c <= h))))
+
+    powers = F.array(*(F.lit(1 << k) for k in range(len(bounds).bit_length(), -1, -1)))
+    search = F.aggregate(powers, F.lit(0), lambda n, p: F.when(reached(n + p - 1), n + p).otherwise(n))
+    docs = docs.withColumn("bucket", search)
+    opens = [F.get(x, F.col("bucket") - 1) == y for x, y in zip(arrays, own, strict=True)]
+    unknown = sum(not b[0] for b in bounds)
+    return docs.withColumn("opens", opens[0] & opens[1] & opens[2]), len(bounds), unknown + 1 if unknown < len(bounds) else 1
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
     """Sketches of each whole text, of its edited text, and their likeness to it and to the next's.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or
-    all) of the next document by doc_id (of equal ids, by text; after the last: the first). Texts
-    are shuffled once, to buckets of neighbouring ids; a bucket also gets the next one's first row.
-    Null text is empty; rows of null doc_id come first; repeated rows each have a result; an empty
-    table gives no rows.
+    all) of the next document by doc_id (of equal ids, by the text's hash; after the last: the first).
+    Texts are shuffled once, to buckets of neighbouring ids; a bucket also gets the next one's first
+    row. Null text is empty; rows of null doc_id come first, and aren't the first that the last is
+    followed by, unless there are no others; repeated rows each have a result; an empty table gives no rows.
     """
-    text = F.coalesce("text", F.lit(""))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    bucket, last = bucket_of(docs, F.col("doc_id"))
-    docs = docs.withColumn("bucket", bucket).withColumn("s", sketch(F.col("text"), words, fraction))
-    first = docs.groupBy("bucket").agg(F.min("doc_id").alias("doc_id")).where("bucket > 0")
-    first = docs.drop("s").join(F.broadcast(first), ["bucket", "doc_id"]).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
-    before = F.when(F.col("bucket") == 1, F.array(F.lit(0), F.lit(last))).otherwise(F.array(F.col("bucket") - 1))
-    first = first.select("doc_id", "text", F.explode(before).alias("bucket")).withColumn("s", sketch(F.col("text"), words, fraction))
+    text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    docs = docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    docs, last, known = buckets(docs)
+    first = docs.where("opens").groupBy("bucket", "known", "doc_id", "h").agg(F.min("text").alias("text"))
+    before = F.array_compact(F.array(F.when(F.col("bucket") > 1, F.col("bucket") - 1), F.when(F.col("bucket") == known, F.lit(last))))
+    first = first.withColumn("bucket", F.explode(before)).withColumn("s", sketch(F.col("text"), words, fraction))
+    docs = docs.drop("opens").withColumn("s", sketch(F.col("text"), words, fraction))
     rows = docs.withColumn("after", F.lit(False)).unionByName(first.withColumn("after", F.lit(True)))
-    order = Window.partitionBy("bucket").orderBy("after", "doc_id", "text")
+    order = Window.partitionBy("bucket").orderBy("after", "known", "doc_id", "h", "text")
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_s", F.lead("s").over(order)).where(~F.col("after"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     both = rows.select("doc_id", "n_chars", "s", "next_s", edited.alias("edited"))
     both = both.select("doc_id", "n_chars", "s", "next_s", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), sketch(F.col("edited"), words, fraction).alias("edited_s"))

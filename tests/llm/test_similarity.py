@@ -201,6 +201,24 @@ def test_fingerprints_merge_and_awkward(spark, awkward, nothing, monkeypatch):
     assert r[0] > 0.95 and r[1] < 0.2 and 350 < r[2] < 650
 
 
+def test_a_repeated_id_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(FP, "BUCKET_ROWS", 4)
+    rows = [(None if k % 3 else 7, f"text {k} of the hot ids") for k in range(90)] + [(k, f"text {k}") for k in range(20)] + [(7, "equal rows")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("h")
+    cut, last, known = FP.buckets(df.select(*key))
+    sizes = {(r.bucket, r.known): r.n for r in cut.distinct().groupBy("bucket", "known").agg(F.count("*").alias("n")).collect()}
+    assert {b for b, _ in sizes} == set(range(1, last + 1)) and max(sizes.values()) <= 4
+    assert known == min(b for b, k in sizes if k) > max(b for b, k in sizes if not k)
+    hashes = {t: h for t, h in df.select("text", F.xxhash64("text")).distinct().collect()}
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    after = [t for _, t in rows[1:]] + [next(t for i, t in rows if i is not None)]
+    expected = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + a[: len(t) // 2]).encode()).hexdigest()) for (i, t), a in zip(rows, after, strict=True)]
+    assert Counter((r.doc_id, r.edited_sha256) for r in FP.edited_fingerprints(df).collect()) == Counter(expected)
+    none = FP.edited_fingerprints(df.where("doc_id is null")).collect()
+    assert len(none) == 60 and all(r.doc_id is None and r.edited_sha256 and r.near_next is not None for r in none)
+
+
 def plain_sketch(text, words=FP.WORDS, fraction=FP.FRACTION):
     """All shingle hashes, and those below the fraction (or the smallest), by the xxhash library."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
