@@ -75,14 +75,13 @@ def shown(s: Column) -> Column:
 BUCKET_ROWS, BUCKETS = 1024, 1 << 14
 
 
-def buckets(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """docs (known, doc_id, h, ...) with `bucket` and `opens`; the number of buckets, and the first known one.
+def buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """docs (known, doc_id, h, ...) with `bucket`; the keys that open them; their number, and the first known one.
 
     Buckets, from 1, are ranges of the order (known, doc_id, h), so a doc_id that many rows have is cut
     too; only rows equal in all three stay together. The distinct keys alone are range-partitioned
     and sorted, and every so many'th of them, with the first known one, opens a bucket; these (BUCKETS
-    of them, and two for each partition, at most) are looked up by binary search. `opens` marks the
-    rows of a key that opens its bucket.
+    of them, and two for each partition, at most) are looked up by binary search.
     """
     key = ["known", "doc_id", "h"]
     keys = stored(docs.select(key).distinct().repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
@@ -98,10 +97,9 @@ def buckets(docs: DataFrame) -> tuple[DataFrame, int, int]:
 
     powers = F.array(*(F.lit(1 << k) for k in range(len(bounds).bit_length(), -1, -1)))
     search = F.aggregate(powers, F.lit(0), lambda n, p: F.when(reached(n + p - 1), n + p).otherwise(n))
-    docs = docs.withColumn("bucket", search)
-    opens = [F.get(x, F.col("bucket") - 1) == y for x, y in zip(arrays, own, strict=True)]
     unknown = sum(not b[0] for b in bounds)
-    return docs.withColumn("opens", opens[0] & opens[1] & opens[2]), len(bounds), unknown + 1 if unknown < len(bounds) else 1
+    opening = docs.sparkSession.createDataFrame([(*b, k) for k, b in enumerate(bounds, 1)], "known boolean, doc_id long, h long, bucket int")
+    return docs.withColumn("bucket", search), opening, len(bounds), unknown + 1 if unknown < len(bounds) else 1
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = FRACTION) -> DataFrame:
@@ -115,12 +113,11 @@ def edited_fingerprints(docs: DataFrame, words: int = WORDS, fraction: float = F
     """
     text, doc_id = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
     docs = docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    docs, last, known = buckets(docs)
-    first = docs.where("opens").groupBy("bucket", "known", "doc_id", "h").agg(F.min("text").alias("text"))
+    rows, opening, last, known = buckets(docs)
+    first = docs.join(F.broadcast(opening), ["known", "doc_id", "h"]).groupBy("bucket", "known", "doc_id", "h").agg(F.min("text").alias("text"))
     before = F.array_compact(F.array(F.when(F.col("bucket") > 1, F.col("bucket") - 1), F.when(F.col("bucket") == known, F.lit(last))))
     first = first.withColumn("bucket", F.explode(before)).withColumn("s", sketch(F.col("text"), words, fraction))
-    docs = docs.drop("opens").withColumn("s", sketch(F.col("text"), words, fraction))
-    rows = docs.withColumn("after", F.lit(False)).unionByName(first.withColumn("after", F.lit(True)))
+    rows = rows.withColumn("s", sketch(F.col("text"), words, fraction)).withColumn("after", F.lit(False)).unionByName(first.withColumn("after", F.lit(True)))
     order = Window.partitionBy("bucket").orderBy("after", "known", "doc_id", "h", "text")
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_s", F.lead("s").over(order)).where(~F.col("after"))
     rows = rows.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).withColumn("n_chars", F.length("text").cast("long"))

@@ -206,7 +206,7 @@ def test_a_repeated_id_is_cut(spark, monkeypatch):
     rows = [(None if k % 3 else 7, f"text {k} of the hot ids") for k in range(90)] + [(k, f"text {k}") for k in range(20)] + [(7, "equal rows")] * 5
     df = spark.createDataFrame(rows, "doc_id long, text string")
     key = F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("h")
-    cut, last, known = FP.buckets(df.select(*key))
+    cut, _, last, known = FP.buckets(df.select(*key))
     sizes = {(r.bucket, r.known): r.n for r in cut.distinct().groupBy("bucket", "known").agg(F.count("*").alias("n")).collect()}
     assert {b for b, _ in sizes} == set(range(1, last + 1)) and max(sizes.values()) <= 4
     assert known == min(b for b, k in sizes if k) > max(b for b, k in sizes if not k)
