@@ -99,14 +99,15 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     Only longer documents are cut, into pieces of `capacity` ids, of which the first may be
     shorter; those full pieces are sequences of their own. The short pieces are packed by
     sum-of-squares in descending length, in chunks of about chunk_rows documents by a hash of
-    doc_id and length: a chunk leaves a few bins open, under 0.3 % of all. Null text is empty (the
+    doc_id, length and the row's stored place, so that equal rows are dealt out too; a chunk leaves a
+    few bins open, under 0.3 % of all. Null text is empty (the
     end id alone); null doc_ids and repeated rows are packed like others; an empty table gives no
     rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = stored(texts.mapInArrow(_measure(tokenizer or default_path(), capacity, end_id), "doc_id long, n_tokens long, crcs array<long>"))
+    facts = stored(texts.mapInArrow(_measure(tokenizer or default_path(), capacity, end_id), "doc_id long, n_tokens long, crcs array<long>").withColumn("at", F.monotonically_increasing_id()))
     chunks = max(1, -(-facts.count() // chunk_rows))
-    chunk = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(chunks)).alias("chunk")
+    chunk = F.pmod(F.xxhash64("doc_id", "n_tokens", "at"), F.lit(chunks)).alias("chunk")
     return facts.select("*", chunk).groupBy("chunk").applyInPandas(_pack(capacity), PIECES)
 
 

@@ -1,6 +1,6 @@
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -85,6 +85,14 @@ def test_packing(spark, awkward, nothing, small):
     assert len({(r.sequence_id, r.offset) for r in packing.pack(awkward).collect()}) == packing.pack(awkward).count()
 
 
+def test_equal_rows_are_dealt_out(spark):
+    df = spark.createDataFrame([(None, "the same text")] * 400 + [(5, "another one")] * 400, "doc_id long, text string")
+    rows = packing.pack(df, chunk_rows=100).collect()
+    assert Counter(r.doc_id for r in rows) == {None: 400, 5: 400}
+    chunks = Counter((r.sequence_id >> 32, r.doc_id) for r in rows)
+    assert len(chunks) == 16 and max(chunks.values()) < 100
+
+
 def test_sum_of_squares_choice():
     """Each item goes where the sum of squares becomes smallest, by trying every open bin."""
     rng = np.random.default_rng(3)
