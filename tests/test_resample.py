@@ -10,7 +10,7 @@ from plumbline.plans.queries import QUERIES
 from plumbline.scratch import stored
 
 #: Queries whose draws (replicates times targets) were once broadcast.
-DRAWN = ["threshold_table", "contrast_specs", "boot_mce", "boot_contrast", "classified_curve", "boot_overconfidence", "boot_ece"]
+DRAWN = ["threshold_table", "contrast_specs", "boot_mce", "boot_contrast", "classified_curve", "boot_overconfidence", "boot_ece", "curve_ci"]
 
 
 def test_sums_equal_plain_draws(spark, monkeypatch):
