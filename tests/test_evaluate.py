@@ -1,6 +1,7 @@
 """Evaluation of cases, specs, kernels on structures, and the sources without a query."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -91,6 +92,16 @@ def test_tails_and_eligible_columns(spark):
     assert got[0].auc_tail_higher == 1.0 and got[0].bonferroni == 0.025 and (got[0].tail_median, got[0].rest_median) == (22.0, 9.5)
 
 
+def test_a_mean_at_its_bound_is_in_no_tail(spark):
+    """Four orders of adding 0.8 three times and 0.9, 0.7: means that differ in their last bits only."""
+    orders = [(0.8, 0.9, 0.7, 0.8, 0.8), (0.7, 0.8, 0.8, 0.8, 0.9), (0.8, 0.8, 0.8, 0.9, 0.7), (0.9, 0.7, 0.8, 0.8, 0.8)]
+    means = [sum(o) / 5 for o in orders] + [math.nextafter(0.8, 0), math.nextafter(0.8, 1)]
+    assert min(means) < 0.8 < max(means)
+    df = spark.createDataFrame([(76.0, m) for m in means] + [(76.0, 0.79), (75.5, 0.79), (None, 0.79)], "p double, l double")
+    got = [r.t for r in ranks.within_bounds(df, {"p": 75.5}, {"l": 0.8}, "t").collect()]
+    assert got == [False] * len(means) + [True, False, None]
+
+
 def test_running_sums_and_numbers_over_many_ranges(spark):
     rng = np.random.default_rng(3)
     values = rng.integers(0, 500, 3000).tolist()
