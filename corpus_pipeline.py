@@ -18,6 +18,9 @@ from plumbline.llm.toxicity import fit as fit_chain
 
 #: A document goes if its language is `und`, or if it is told with less than this probability.
 LEAST_LANGUAGE = 0.5
+#: Units whose ids a worker keeps while packing. It is a fifth of what packing alone keeps, as the workers and
+#: the executor's JVM still hold what the earlier stages took, and a worker keeps it after this stage.
+PACKING_CACHE = 150_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one piece, their end id; rows of null or repeated ids are packed each;
     further columns aren't read; an empty table gives no pieces.
     """
-    return pack(docs)
+    return pack(docs, cache=PACKING_CACHE)
 
 
 STAGES = [("toxicity", toxicity), ("language_id", language_id), ("ngram_jaccard", near_copies), ("best_fit_packing", packing)]

@@ -13,14 +13,14 @@ import os
 import re
 import struct
 
-#: Units whose ids a Python worker keeps; beyond, it starts anew.
+#: Units whose ids a Python worker keeps, some 200 bytes each; beyond, it starts anew.
 CACHE = 700_000
 #: Words whose bytes as UTF-8 stand for printable characters of the byte alphabet.
 _LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ſ]+")
 _SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
-_encoders: dict[str, ByteBpe] = {}
+_encoders: dict[tuple[str, int], ByteBpe] = {}
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -34,13 +34,11 @@ class _Units(dict):
     None stands for a unit that isn't plain.
     """
 
-    def __init__(self, library, tokenize, feed: bytes):
+    def __init__(self, library, tokenize, feed: bytes, cache: int):
         super().__init__()
-        self.library, self.tokenize, self.feed = library, tokenize, feed
+        self.library, self.tokenize, self.feed, self.cache = library, tokenize, feed, cache
 
     def __missing__(self, key: str) -> bytes | None:
-        if len(self) > CACHE:
-            self.clear()
         body = key[1:] if key[:1] == "\n" else key
         run = _LATIN.match(body)
         if run is None or len(body) > run.end() and body[run.end()].isalpha():
@@ -59,12 +57,14 @@ class _Units(dict):
             ids = pack_ids([t.id for t in self.tokenize(chars if body is not key else "Ġ" + chars)])
         if body is not key and ids is not None:
             ids = self.feed + ids
+        if len(self) >= self.cache:
+            self.clear()
         self[key] = ids
         return ids
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -72,7 +72,7 @@ class ByteBpe:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         feed = self._library(["\n"])[0]
-        self.units = _Units(self._library, self.tokenizer.model.tokenize, feed)
+        self.units = _Units(self._library, self.tokenizer.model.tokenize, feed, cache)
         self.splits = len(feed) == 4 and self._library([" a\n b\nc"])[0] == feed.join(self._library([" a", " b", "c"]))
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -98,11 +98,11 @@ class ByteBpe:
         return out
 
 
-def byte_bpe(path: str) -> ByteBpe:
-    """The worker's encoder for the tokenizer file at `path`."""
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path)
-    return _encoders[path]
+def byte_bpe(path: str, cache: int = CACHE) -> ByteBpe:
+    """The worker's encoder for the tokenizer file at `path`, which keeps the ids of at most `cache` units."""
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = ByteBpe(path, cache)
+    return _encoders[path, cache]
 
 
 def default_path() -> str:

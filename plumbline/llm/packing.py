@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytebpe import byte_bpe, default_path
+from plumbline.llm.bytebpe import CACHE, byte_bpe, default_path
 from plumbline.llm.common import slices, stored, table
 
 CAPACITY, END_ID = 1024, 2
@@ -50,11 +50,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
-def _measure(path: str, capacity: int, end_id: int):
+def _measure(path: str, capacity: int, end_id: int, cache: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path)
+        bpe = byte_bpe(path, cache)
         for batch in batches:
             doc_id, texts = batch.column(0), batch.column(1).to_pylist()
             for i, j in slices(texts):
@@ -93,7 +93,7 @@ def _pack(capacity: int):
     return step
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID, chunk_rows: int = CHUNK_ROWS, cache: int = CACHE) -> DataFrame:
     """Packs the documents' ids, each with end_id appended, into sequences of at most `capacity` ids.
 
     Only longer documents are cut, into pieces of `capacity` ids, of which the first may be
@@ -102,10 +102,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     doc_id, length and the row's stored place, so that equal rows are dealt out too; a chunk leaves a
     few bins open, under 0.3 % of all. Null text is empty (the
     end id alone); null doc_ids and repeated rows are packed like others; an empty table gives no
-    rows.
+    rows. A Python worker keeps the ids of at most `cache` units of text; fewer take less memory and more
+    time, and give the same ids.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = stored(texts.mapInArrow(_measure(tokenizer or default_path(), capacity, end_id), "doc_id long, n_tokens long, crcs array<long>").withColumn("at", F.monotonically_increasing_id()))
+    facts = stored(texts.mapInArrow(_measure(tokenizer or default_path(), capacity, end_id, cache), "doc_id long, n_tokens long, crcs array<long>").withColumn("at", F.monotonically_increasing_id()))
     chunks = max(1, -(-facts.count() // chunk_rows))
     chunk = F.pmod(F.xxhash64("doc_id", "n_tokens", "at"), F.lit(chunks)).alias("chunk")
     return facts.select("*", chunk).groupBy("chunk").applyInPandas(_pack(capacity), PIECES)

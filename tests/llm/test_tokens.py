@@ -7,7 +7,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from plumbline.llm import packing, rank_bpe, token_orc
+import corpus_pipeline
+from plumbline.llm import bytebpe, packing, rank_bpe, token_orc
 from plumbline.llm.bytebpe import byte_bpe, default_path
 from plumbline.llm.common import shared_dir
 
@@ -183,3 +184,14 @@ def test_scratch_needs_a_shared_folder_off_the_driver(spark, monkeypatch):
     monkeypatch.setattr(context, "getConf", dict)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(spark)
+
+
+def test_few_kept_units_give_the_same_ids():
+    """A worker's encoder keeps no more units than it was told to; the pipeline's keeps less than packing alone."""
+    texts = [" ".join(f"word{i * j} and\nLine{j}, x{i}" for j in range(40)) for i in range(30)]
+    few, many = bytebpe.ByteBpe(bytebpe.default_path(), 25), bytebpe.ByteBpe(bytebpe.default_path())
+    for text in texts:
+        assert few.encode([text]) == many.encode([text])
+        assert len(few.units) <= 25
+    assert len(many.units) > 500
+    assert corpus_pipeline.PACKING_CACHE < bytebpe.CACHE / 4
