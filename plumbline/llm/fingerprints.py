@@ -81,10 +81,12 @@ def buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     Buckets, from 1, are ranges of the order (known, doc_id, h), so a doc_id that many rows have is cut
     too; only rows equal in all three stay together. The distinct keys alone are range-partitioned
     and sorted, and every so many'th of them, with the first known one, opens a bucket; these (BUCKETS
-    of them, and two for each partition, at most) are looked up by binary search.
+    of them, and two for each partition, at most) are looked up by binary search. A core stores one
+    file of keys, however many ranges it gets, as each file costs several processes where Hadoop has no
+    native library.
     """
-    key = ["known", "doc_id", "h"]
-    keys = stored(docs.select(key).distinct().repartitionByRange(*key).withColumn("part", F.spark_partition_id()))
+    key, cores = ["known", "doc_id", "h"], docs.sparkSession.sparkContext.defaultParallelism
+    keys = stored(docs.select(key).distinct().repartitionByRange(*key).withColumn("part", F.spark_partition_id()).coalesce(cores))
     step = max(BUCKET_ROWS, -(-keys.count() // BUCKETS))
     place = F.row_number().over(Window.partitionBy("part", "known").orderBy("doc_id", "h"))
     bounds = sorted(tuple(r) for r in keys.withColumn("place", place).where((F.col("place") - 1) % step == 0).select(key).collect())
