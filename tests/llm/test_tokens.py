@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import zlib
 from collections import Counter, defaultdict
 
@@ -195,3 +196,15 @@ def test_few_kept_units_give_the_same_ids():
         assert len(few.units) <= 25
     assert len(many.units) > 500
     assert corpus_pipeline.PACKING_CACHE < bytebpe.CACHE / 4
+
+
+def test_units_are_kept_without_the_signs_after_them():
+    """A word's ids are found once, whatever sign follows it; texts are cut on bytes, odd ones not at all."""
+    bpe = bytebpe.ByteBpe(bytebpe.default_path())
+    texts = [f"Alpha{s} bé{s}\nGamma{s}" for s in ",.;!?"]
+    parts = ["a", "Bc", "é", "ñ", "×", "Ł", " ", "\n", "  ", "\n ", "\t", "'s", "<|endoftext|>", "<|", "1", ".", "$$", "日本", "\u0301", "\xa0", "\x1c", "Ġ", "\r", "\0", "ª"]
+    odd = ["".join(t) for n in (1, 2, 3) for t in itertools.product(parts, repeat=n)]
+    assert bpe.encode(texts) == [np.array(BYTE.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert set(bpe.units) == {b"Alpha", " bé".encode(), b"\n", b"Gamma", b",", b".", b";", b"!", b"?"}
+    for got, t in zip(bpe.encode(["", *odd]), ["", *odd], strict=True):
+        assert got == np.array(BYTE.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
